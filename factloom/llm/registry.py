@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.llm.html import op9_html
+from factloom.llm.language import op7_language
 from factloom.llm.packing import op4_pack
+from factloom.llm.quality import op6_quality
 from factloom.llm.simhash import op2_simhash
+from factloom.llm.tokencount import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_token_counts": op3_token_counts,
     "op4_pack": op4_pack,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
+    "op9_html": op9_html,
 }
 ORACLES: dict[str, str] = {}
