@@ -79,7 +79,10 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     if _DIGIT.search(text):
         for kind, pattern, test in ((1, _IP, _valid_ip), (2, _CARD, _valid_card), (3, _PHONE, _valid_phone)):
             for m in pattern.finditer(text):
-                (found if test(m[0]) else failed).append((kind, m.start(), m.end()))
+                if test(m[0]):
+                    found.append((kind, m.start(), m.end()))
+                elif kind != 2 or 16 <= sum(c.isdigit() for c in m[0]) <= 19:
+                    failed.append((kind, m.start(), m.end()))
     return found, failed
 
 
@@ -135,10 +138,9 @@ def scan_text(text: str) -> tuple[list[dict], list[dict]]:
 
     for kind, s, e in found:
         add(kind, s, e, 1)
-    taken = [(s, e) for _, s, e in found] + [(s, e) for _, s, e in failed if e - s >= 7]
+    taken = [(s, e) for _, s, e in found + failed]
     for kind, s, e in failed:
-        if e - s >= 7:
-            add(kind, s, e, -1)
+        add(kind, s, e, -1)
     for kind, s, e in shaped(text):
         if not any(s < b and a < e for a, b in taken):
             add(kind, s, e, 0)
