@@ -14,6 +14,7 @@ from factloom.llm.packing import op4_pack
 from factloom.llm.pii import op5_pii
 from factloom.llm.quality import op6_quality
 from factloom.llm.simhash import op2_simhash
+from factloom.llm.substrings import op10_substrings
 from factloom.llm.tokencount import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
     "op9_html": op9_html,
+    "op10_substrings": op10_substrings,
 }
 ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
