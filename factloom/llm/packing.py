@@ -231,8 +231,8 @@ def pack(
     """
     scratch = Scratch(spark, "packing")
     pieces = scratch.write(tokenized_pieces(docs, tokenizer, capacity, separator, with_ids), "pieces")
-    counts = scratch.write(pieces.groupBy("task", "length").count(), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    counts = pieces.groupBy("task", "length").count()
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = segments(plan_bins(histogram, capacity))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("task", "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
