@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -310,6 +310,18 @@ def repeated_contexts(rows: DataFrame, scratch: Scratch, crowd: int, parts: int)
         rows = scratch.write(finer_rows(rows.join(crowded, ["g", "g2"]), parts if level == 1 else 1 << 20), "finer")
 
 
+def joined_runs(runs: Column) -> Column:
+    """Sorted runs (x, y) with touching and overlapping ones as one."""
+
+    def add(done: Column, run: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.array(F.struct(last["x"].alias("x"), F.greatest(last["y"], run["y"]).alias("y")))
+        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["y"] + 1 >= run["x"])
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(run)))
+
+    return F.aggregate(runs, F.array().cast("array<struct<x:int,y:int>>"), add)
+
+
 def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int, gram: int, crowd: int, parts: int) -> DataFrame:
     """key and spans (start, stop) of bytes to remove, from (key, text) rows."""
     side = length - gram
@@ -335,9 +347,11 @@ def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int,
     release(wanted)
     runs = repeated_contexts(rows, scratch, crowd, parts)
     whole = per.where("n > 1").select("a", "c", F.lit(0).alias("x"), F.lit(side).alias("y"))
-    runs = scratch.write(runs.union(whole), "repeated")
+    # One row a context, so that a context with many runs does not multiply its occurrences.
+    runs = runs.union(whole).groupBy("a", "c").agg(joined_runs(F.sort_array(F.collect_set(F.struct("x", "y")))).alias("runs"))
+    runs = scratch.write(runs, "repeated")
     release(per)
-    met = candidates.join(runs, ["a", "c"])
+    met = candidates.join(runs, ["a", "c"]).select("key", "pos", "lead", "tail", F.inline("runs"))
     x, y = F.greatest("x", side - F.col("lead")), F.least("y", "tail")
     spans = met.where(x <= y).select("key", (F.col("pos") - side + x).alias("start"), (F.col("pos") + gram + y).alias("stop")).distinct()
     made = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
