@@ -36,15 +36,20 @@ def split_by_rule(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return with_facts(pairs, facts).withColumn("corroborated", J.corroborated(_fields("fact_1"), _fields("fact_2")))
 
 
-def settle(matched: DataFrame, created_at: Column) -> DataFrame:
-    """Relationships of the pairs that the deterministic rule corroborates."""
+def agreed() -> Column:
+    """What a corroborated pair says."""
     period = F.coalesce(F.nullif(F.col("fact_1.temporal_scope"), F.lit("")), F.lit("an unstated period"))
     said = F.concat_ws(" ", "fact_1.subject", "fact_1.attribute", F.lit("is"), "fact_1.value", F.coalesce("fact_1.unit", F.lit("")))
+    return F.concat(F.lit("Both sources agree: "), said, F.lit(" for "), period, F.lit("."))
+
+
+def settle(matched: DataFrame, created_at: Column) -> DataFrame:
+    """Relationships of the pairs that the deterministic rule corroborates."""
     rows = matched.where("corroborated").select(
         "fact_id_1", "fact_id_2", "match_source", "is_intra_document",
         F.lit("corroborates").alias("relation_type"),
         F.lit("none").alias("reconciling_factor"),
-        F.concat(F.lit("Both sources agree: "), said, F.lit(" for "), period, F.lit(".")).alias("explanation"),
+        agreed().alias("explanation"),
         J.agreement(F.col("fact_1.confidence"), F.col("fact_2.confidence")).alias("agreement_strength"),
     )
     return _stored(rows, created_at)
@@ -71,7 +76,22 @@ def from_replies(replies: DataFrame, created_at: Column) -> DataFrame:
 
 
 def judge_and_collect(pairs: DataFrame, facts: DataFrame, judge_plugin, created_at: Column) -> DataFrame:  # noqa: ANN001
-    """Relationships of all pairs: by rule where it settles them, by the judge (if there is one) otherwise."""
+    """Relationships of all pairs: by rule where it settles them, by the judge (if there is one) otherwise.
+
+    A judge whose reply is an expression (it has ``reply()``) is asked in the same pass over the pairs.
+    """
     matched = split_by_rule(pairs, facts)
-    settled = settle(matched, created_at)
-    return settled if judge_plugin is None else settled.unionByName(judge(matched, judge_plugin, created_at))
+    if judge_plugin is None:
+        return settle(matched, created_at)
+    if not hasattr(judge_plugin, "reply"):
+        return settle(matched, created_at).unionByName(judge(matched, judge_plugin, created_at))
+    read = matched.withColumn("__j", F.when(~F.col("corroborated"), llmjson.judgement(judge_plugin.reply())))
+    relation = F.when(F.col("corroborated"), "corroborates").otherwise(J.relation_type(F.col("__j.relation_type")))
+    rows = read.where("corroborated OR __j IS NOT NULL").select(
+        "fact_id_1", "fact_id_2", "match_source", "is_intra_document",
+        relation.alias("relation_type"),
+        F.when(F.col("corroborated"), "none").otherwise(J.reconciling_factor(F.col("__j.reconciling_factor"), relation)).alias("reconciling_factor"),
+        F.when(F.col("corroborated"), agreed()).otherwise(F.coalesce("__j.explanation", F.lit(""))).alias("explanation"),
+        F.when(F.col("corroborated"), J.agreement(F.col("fact_1.confidence"), F.col("fact_2.confidence"))).otherwise(1.0).alias("agreement_strength"),
+    )
+    return _stored(rows, created_at)

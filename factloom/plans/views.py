@@ -16,29 +16,33 @@ SELECT concat('book', CAST(doc_id - doc_id % {PAGES_PER_BOOK} AS STRING)) AS doc
 FROM documents WHERE doc_id IS NOT NULL
 """
 
-FACTS_SQL = """
+#: A row a ledger for each measure: four ledgers state years (q = 0), one states quarters.
+_SPARK_ROWS = "explode(CASE WHEN q = 0 THEN array(1, 2, 4, 5) ELSE array(3) END)"
+_DUCKDB_ROWS = "unnest(CASE WHEN q = 0 THEN [1, 2, 4, 5] ELSE [3] END)"
+
+
+def _facts(rows: str) -> str:
+    return f"""
 WITH sales AS (
-  SELECT n_nationkey AS k, year(o_orderdate) + 20 AS y, quarter(o_orderdate) AS q, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  GROUP BY n_nationkey, year(o_orderdate), quarter(o_orderdate)),
-years AS (SELECT k, y, CAST(floor(CAST(sum(total) AS DOUBLE) / 1000.0) AS BIGINT) AS v FROM sales GROUP BY k, y),
-quarters AS (SELECT k, y, q, CAST(floor(CAST(total AS DOUBLE) / 1000.0) AS BIGINT) AS v FROM sales),
+  SELECT k, y, coalesce(q, 0) AS q, CAST(floor(CAST(sum(total) AS DOUBLE) / 1000.0) AS BIGINT) AS v
+  FROM (SELECT n_nationkey AS k, year(o_orderdate) + 20 AS y, quarter(o_orderdate) AS q, CAST(o_totalprice AS DECIMAL(18, 2)) AS total
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) AS o
+  GROUP BY GROUPING SETS ((k, y), (k, y, q))),
+named AS (
+  SELECT k, y, q, v, doc_no, repeat(chr(CAST(97 + k AS INT)), 6) AS name, CAST(y AS STRING) AS yyyy, CAST(y - 2000 AS STRING) AS yy
+  FROM (SELECT k, y, q, v, {rows} AS doc_no FROM sales) AS s),
 raw AS (
-  SELECT 'ledger_a' AS doc, k, y, 0 AS q, 1 AS doc_no, 'Total revenue' AS attribute, repeat(chr(CAST(97 + k AS INT)), 6) AS subject,
-         CAST(v AS STRING) AS value, 'INR million' AS unit, concat('FY', CAST(y AS STRING)) AS scope FROM years
-  UNION ALL
-  SELECT 'ledger_b', k, y, 0, 2, 'Revenue from operations', concat(repeat(chr(CAST(97 + k AS INT)), 6), ' Limited'),
-         CAST(CAST(floor(v / 10.0 + 0.5) AS BIGINT) AS STRING), 'INR Crore', concat('FY', CAST(y - 2000 AS STRING)) FROM years
-  UNION ALL
-  SELECT 'ledger_c', k, y, q, 3, 'Revenue', repeat(chr(CAST(97 + k AS INT)), 6),
-         CAST(v AS STRING), 'million', concat('Q', CAST(q AS STRING), ' FY', CAST(y - 2000 AS STRING)) FROM quarters
-  UNION ALL
-  SELECT 'ledger_d', k, y, 0, 4, 'Total revenue', repeat(chr(CAST(97 + k AS INT)), 6),
-         CAST(CASE WHEN k % 3 = 0 THEN CAST(floor(v * 1.1) AS BIGINT) ELSE v END AS STRING), NULL,
-         concat(CAST(y - 1 AS STRING), '-', CAST(y - 2000 AS STRING)) FROM years
-  UNION ALL
-  SELECT 'ledger_e', k, y, 0, 5, 'Headline inflation', repeat(chr(CAST(97 + k AS INT)), 6),
-         concat(CAST(v % 90 AS STRING), '.5%'), '%', CAST(y AS STRING) FROM years)
+  SELECT k, y, q, doc_no,
+         CASE doc_no WHEN 1 THEN 'ledger_a' WHEN 2 THEN 'ledger_b' WHEN 3 THEN 'ledger_c' WHEN 4 THEN 'ledger_d' ELSE 'ledger_e' END AS doc,
+         CASE doc_no WHEN 2 THEN 'Revenue from operations' WHEN 3 THEN 'Revenue' WHEN 5 THEN 'Headline inflation' ELSE 'Total revenue' END AS attribute,
+         CASE doc_no WHEN 2 THEN concat(name, ' Limited') ELSE name END AS subject,
+         CASE doc_no WHEN 2 THEN CAST(CAST(floor(v / 10.0 + 0.5) AS BIGINT) AS STRING)
+                     WHEN 4 THEN CAST(CASE WHEN k % 3 = 0 THEN CAST(floor(v * 1.1) AS BIGINT) ELSE v END AS STRING)
+                     WHEN 5 THEN concat(CAST(v % 90 AS STRING), '.5%') ELSE CAST(v AS STRING) END AS value,
+         CASE doc_no WHEN 1 THEN 'INR million' WHEN 2 THEN 'INR Crore' WHEN 3 THEN 'million' WHEN 5 THEN '%' END AS unit,
+         CASE doc_no WHEN 1 THEN concat('FY', yyyy) WHEN 2 THEN concat('FY', yy) WHEN 3 THEN concat('Q', CAST(q AS STRING), ' FY', yy)
+                     WHEN 4 THEN concat(CAST(y - 1 AS STRING), '-', yy) ELSE yyyy END AS scope
+  FROM named)
 SELECT concat(doc, '|', subject, '|', scope) AS id, doc AS source_doc_id, subject, attribute, value, unit, scope AS temporal_scope,
        concat_ws('_', doc, CAST(CAST(k % 7 + 1 AS INT) AS STRING), CASE WHEN q = 0 THEN NULL ELSE concat('q', CAST(q AS STRING)) END) AS extraction_group_id,
        CAST(k % 7 + 1 AS INT) AS page, CAST(0.5 + (k % 5) / 10.0 AS DOUBLE) AS confidence,
@@ -47,6 +51,10 @@ SELECT concat(doc, '|', subject, '|', scope) AS id, doc AS source_doc_id, subjec
 FROM raw
 """
 
+
+FACTS_SQL = _facts(_DUCKDB_ROWS)
+SPARK_FACTS_SQL = _facts(_SPARK_ROWS)
+
 REPLIES_SQL = f"""
 SELECT id, page, CASE CAST(created_seq % 5 AS INT)
          WHEN 0 THEN concat('{{"facts":[', o, ']}}')
@@ -60,11 +68,13 @@ FROM (SELECT id, page, created_seq,
       FROM ({FACTS_SQL}) AS f) AS r
 """
 
-JUDGE_REPLIES_SQL = f"""
+_JUDGE_REPLIES = """
 SELECT id, CASE CAST(created_seq % 6 AS INT) WHEN 0 THEN 'CORROBORATES' WHEN 1 THEN 'contradictory' WHEN 2 THEN ' Reconciled '
          WHEN 3 THEN 'RelationType.RECONCILED' WHEN 4 THEN 'unsure' ELSE NULL END AS raw_type,
        CASE CAST(created_seq % 11 AS INT) WHEN 0 THEN 'Forecast vs actual' WHEN 1 THEN 'period basis' WHEN 2 THEN 'rounding' WHEN 3 THEN 'TEMPORAL_SCOPE'
          WHEN 4 THEN 'subsidiary only' WHEN 5 THEN 'currency' WHEN 6 THEN 'adjusted figure' WHEN 7 THEN 'unknown_factor' WHEN 8 THEN ''
          WHEN 9 THEN 'standalone' ELSE NULL END AS raw_factor
-FROM ({FACTS_SQL}) AS f
+FROM ({facts}) AS f
 """
+JUDGE_REPLIES_SQL = _JUDGE_REPLIES.format(facts=FACTS_SQL)
+SPARK_JUDGE_REPLIES_SQL = _JUDGE_REPLIES.format(facts=SPARK_FACTS_SQL)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.pages import prompt_text
@@ -119,7 +119,8 @@ class ReplayExtractor:
 class RuleJudge:
     """Judges by rule, in SQL expressions: other period, other unit, rounding, or contradiction."""
 
-    def replies(self, pairs: DataFrame) -> DataFrame:
+    def reply(self) -> Column:
+        """The reply as an expression over fact_1 and fact_2."""
         one, two = F.split(F.col("fact_1.claim_fingerprint"), "::"), F.split(F.col("fact_2.claim_fingerprint"), "::")
         a, b = (F.replace(F.trim(F.col(f"{n}.value")), F.lit(","), F.lit("")).try_cast("double") for n in ("fact_1", "fact_2"))
         units = [F.lower(F.trim(F.coalesce(F.col(f"{n}.unit"), F.lit("")))) for n in ("fact_1", "fact_2")]
@@ -135,11 +136,13 @@ class RuleJudge:
             .when(factor.isNotNull(), "reconciled")
             .otherwise("contradicts")
         )
-        said = F.to_json(
+        return F.to_json(
             F.struct(
                 relation.alias("relation_type"),
                 F.coalesce(factor, F.lit("none")).alias("reconciling_factor"),
                 F.concat(F.lit("By rule: "), relation).alias("explanation"),
             )
         )
-        return pairs.withColumn("reply", said)
+
+    def replies(self, pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("reply", self.reply())

@@ -30,7 +30,7 @@ def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, views.FACTS_SQL)
+    return _view(spark, sf_dir, views.SPARK_FACTS_SQL)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +273,7 @@ def corroborate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, views.JUDGE_REPLIES_SQL)
+    return _view(spark, sf_dir, views.SPARK_JUDGE_REPLIES_SQL)
 
 
 @query("judge_labels", f"SELECT id, {sql.relation('raw_type')} AS relation_type FROM ({views.JUDGE_REPLIES_SQL}) r")
