@@ -288,7 +288,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:
     table = scratch.write(fingerprints(numbered, at["text"], keep=True).withColumnRenamed("__fp", "fp"), "rows")
     ids = table.select(F.col(at["doc_id"]).alias("doc_id"), "fp", "rid")
     found = component_of(ids, scratch, hot).select(F.col("least.rid").alias("rid")).distinct()
-    kept = table.join(scratch.write(found, "kept"), "rid", "left_semi")
+    # Rows kept grow with the input, so they are never broadcast: the plan is the same at every size.
+    kept = table.join(scratch.write(found, "kept").hint("merge"), "rid", "left_semi")
     return kept.select(*[F.col(at[n]).alias(n) for n in names])
 
 
