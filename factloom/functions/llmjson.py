@@ -26,13 +26,22 @@ def body(raw: Column) -> Column:
     return F.when(text.rlike(FENCE), trimmed(F.regexp_extract(text, FENCE, 1))).otherwise(text)
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else.
+
+    The parser stops at the end of the first value, so the text is tried as a member with another member after it.
+    """
+    framed = F.concat(F.lit('{"a":'), text, F.lit(',"b":1}'))
+    return F.coalesce(F.try_variant_get(F.try_parse_json(framed), "$.b", "int") == 1, F.lit(False))
+
+
 def first_valid(text: Column, closers: tuple[str, ...]) -> Column:
     """The text, or the text up to its last brace with a closer, whichever first is JSON; else null."""
     cut = F.regexp_extract(text, r"^([\s\S]*\})", 1)
-    tries = [text, *[F.concat(cut, F.lit(c)) for c in closers]]
-    fits = [F.when(F.try_parse_json(t).isNotNull() & t.rlike(r"^\s*[\[{]"), t) for t in tries[:1]]
-    fits += [F.when((cut != "") & F.try_parse_json(t).isNotNull(), t) for t in tries[1:]]
-    return F.coalesce(*fits)
+    tries = [F.concat(cut, F.lit(c)) for c in closers]
+    return F.coalesce(
+        F.when(is_json(text) & text.rlike(r"^\s*[\[{]"), text), *[F.when((cut != "") & is_json(t), t) for t in tries]
+    )
 
 
 def reply_facts(raw: Column) -> Column:
