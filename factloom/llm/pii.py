@@ -279,9 +279,11 @@ def joined(spans: Column) -> Column:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)
-    ]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,
