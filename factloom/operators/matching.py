@@ -61,6 +61,30 @@ def related_subjects(new: DataFrame, existing: DataFrame) -> DataFrame:
     return met.where(J.subjects_related(F.col("new_subject"), F.col("old_subject"))).distinct()
 
 
+#: Columns that name a claim on each side of a pair.
+CLAIM = {s: [f"{s}_subject_normalized", f"{s}_attribute_normalized", f"{s}_name"] for s in ("new", "old")}
+
+
+def with_claim(facts: DataFrame, name: str) -> DataFrame:
+    """Adds the attribute that words are compared in: the normalised one, or the written one where that is empty."""
+    shown = F.coalesce(F.nullif(F.col(f"{name}_attribute_normalized"), F.lit("")), F.col(f"{name}_attribute"))
+    return facts.withColumn(f"{name}_name", shown)
+
+
+def related_claims(new: DataFrame, existing: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Pairs of distinct claims (subject and attribute) whose subjects and attributes are related, and ``is_exact``.
+
+    Subjects and attributes are tested once for each different claim; facts only meet where both tests hold, so a
+    subject with very many facts does not pair them all.
+    """
+    subjects = related_subjects(new, existing).toDF("new_subject_normalized", "old_subject_normalized")
+    sides = [with_claim(side(d, s), s).select(*CLAIM[s]).distinct() for d, s in ((new, "new"), (existing, "old"))]
+    met = sides[0].join(subjects, "new_subject_normalized").join(sides[1], "old_subject_normalized")
+    exact = F.col("new_attribute_normalized") == F.col("old_attribute_normalized")
+    related = exact | J.attributes_related(F.col("new_name"), F.col("old_name")) if fuzzy else exact
+    return met.where(related).select(*CLAIM["new"], *CLAIM["old"], exact.alias("is_exact"))
+
+
 def side(facts: DataFrame, name: str) -> DataFrame:
     return facts.select(*[F.col(c).alias(f"{name}_{c}") for c in PAIR_FIELDS])
 
@@ -77,15 +101,12 @@ def candidates(
     fact_id_1 < fact_id_2; new_id is the new side (the later one where both are new). ``judged`` is a table of
     (fact_id_1, fact_id_2) in either order to leave out.
     """
-    pairs = related_subjects(new, existing).toDF("new_subject_normalized", "old_subject_normalized")
-    met = side(new, "new").join(pairs, "new_subject_normalized").join(side(existing, "old"), "old_subject_normalized")
+    claims = related_claims(new, existing, fuzzy)
+    met = with_claim(side(new, "new"), "new").join(claims, CLAIM["new"]).join(with_claim(side(existing, "old"), "old"), CLAIM["old"])
     met = met.where(F.col("new_id") != F.col("old_id"))
     if cross_document_only:
         met = met.where(F.col("new_source_doc_id") != F.col("old_source_doc_id"))
     met = met.where(~J.siblings(F.col("new_extraction_group_id"), F.col("old_extraction_group_id")))
-    exact = F.col("new_attribute_normalized") == F.col("old_attribute_normalized")
-    named = [F.coalesce(F.nullif(F.col(f"{s}_attribute_normalized"), F.lit("")), F.col(f"{s}_attribute")) for s in ("new", "old")]
-    met = met.withColumn("is_exact", exact).where(exact | J.attributes_related(*named) if fuzzy else exact)
     keyed = met.select(
         *pair_key(F.col("new_id"), F.col("old_id")),
         F.when(F.col("is_exact"), "structural").otherwise("fuzzy").alias("match_source"),
