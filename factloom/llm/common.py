@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_roots: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _roots.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back, with its path in ``table_path``."""
@@ -61,6 +63,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete every intermediate table of this process. Results that still read them must be written first."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_roots.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def columns(df: DataFrame, **named: str) -> DataFrame:
     """Only the columns an operator needs, under its own names: extra columns can't clash."""
     return df.select(*[df[f"`{src}`"].alias(dst) for dst, src in named.items()])

@@ -6,8 +6,8 @@ probabilities are the means over its windows, weighted by their bytes.
 
 Because embedding and filters are linear, applying them is one table look-up per filter offset and byte.
 
-Training takes a bounded sample: at most ``PER_LANGUAGE`` documents of a language, by a hash of their ids, and at most
-``PER_DOCUMENT`` evenly spread windows of each. Everything that is predicted is predicted from whole texts.
+Training takes a bounded sample: of the ``LANGUAGES`` most frequent languages at most ``PER_LANGUAGE`` documents each, by
+a hash of their ids, and at most ``PER_DOCUMENT`` evenly spread windows of each. Everything that is predicted is predicted from whole texts.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; so does every row when there is
 nothing to learn from. A null ``doc_id`` is never learned from, is not held out and stays null. Rows with a null
@@ -35,6 +35,8 @@ EMBEDDING = 8
 #: Bounds of the training sample.
 PER_LANGUAGE = 300
 PER_DOCUMENT = 6
+LANGUAGES = 256
+SALTS = 64
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -139,8 +141,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, per_document: int =
     """A network from the documents outside the held-out fold that have a language; None if there are none."""
     rows = columns(docs, doc_id="doc_id", text="text", lang="lang").where("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.where(fold(F.col("doc_id")) != 0)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    picked = rows.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank", "doc_id")
+    ids = rows.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id"))
+    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    ids = ids.join(F.broadcast(common), "lang")
+    # Ids alone are ranked, first within a language's salts and then within the language, so no task gets more than
+    # SALTS * per_language rows however many documents a language has.
+    for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    # At most LANGUAGES * per_language rows of an id and a language are sent to all tasks.
+    picked = rows.join(F.broadcast(ids.drop("h")), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
