@@ -18,6 +18,7 @@ gives an empty result. Ties of a span between kinds are kept, one span a kind. O
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -138,11 +139,20 @@ def scan_text(text: str) -> tuple[list[dict], list[dict]]:
 
     for kind, s, e in found:
         add(kind, s, e, 1)
-    taken = [(s, e) for _, s, e in found + failed]
     for kind, s, e in failed:
         add(kind, s, e, -1)
+    # What is taken already, as stretches that do not overlap: one look-up a candidate, also in a text full of numbers.
+    starts: list[int] = []
+    stops: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in found + failed):
+        if stops and s < stops[-1]:
+            stops[-1] = max(stops[-1], e)
+        else:
+            starts.append(s)
+            stops.append(e)
     for kind, s, e in shaped(text):
-        if not any(s < b and a < e for a, b in taken):
+        k = bisect.bisect_left(starts, e) - 1
+        if k < 0 or stops[k] <= s:
             add(kind, s, e, 0)
     return spans, seen
 
@@ -185,6 +195,8 @@ def confident(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple
         )
         if good.isEmpty():
             return None
+        if i == 0:  # written once it is known that they are needed again
+            edges = scratch.write(edges, "edges")
         met = edges.where("state = 0").join(good, ["kind", "pattern"])
         doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
         found = scratch.write(met.groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("found")), "instances")
@@ -200,9 +212,7 @@ def discovered(scanned: DataFrame, scratch: Scratch) -> DataFrame | None:
     exploded = seen.select("__rid", "kind", "start", "stop", "state", "instance", F.explode("patterns").alias("pattern"))
     # An instance that is a seed anywhere is a seed; one that fails is a negative.
     edges = exploded.groupBy("kind", "pattern", "instance").agg(F.max("state").alias("high"), F.min("state").alias("low"))
-    edges = scratch.write(
-        edges.select("kind", "pattern", "instance", F.when(F.col("low") < 0, F.lit(-1)).otherwise(F.col("high")).alias("state")), "edges"
-    )
+    edges = edges.select("kind", "pattern", "instance", F.when(F.col("low") < 0, F.lit(-1)).otherwise(F.col("high")).alias("state"))
     best = confident(edges, scratch)
     if best is None:
         return None
