@@ -341,7 +341,9 @@ def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int,
         F.count("*").alias("n"), F.first("several").alias("several"), F.min(F.struct("key", "pos", "lead", "tail")).alias("at")
     )
     per = scratch.write(per, "contexts")
-    refs = per.where("several").select("at.key", F.struct("a", "c", "at.pos", "at.lead", "at.tail").alias("ref"))
+    # Where every context of an anchor is repeated as a whole there is nothing left to find.
+    unsure = scratch.write(per.where("several AND n = 1").select("a").distinct(), "unsure")
+    refs = per.join(unsure, "a", "left_semi").select("at.key", F.struct("a", "c", "at.pos", "at.lead", "at.tail").alias("ref"))
     wanted = scratch.write(refs.groupBy("key").agg(F.collect_list("ref").alias("refs")), "wanted")
     rows = scratch.write(context_rows(docs, wanted, gram, side), "rows")
     release(wanted)
