@@ -44,22 +44,31 @@ def has_text(text: Column) -> Column:
     return F.coalesce(F.length(trimmed(text)) >= LEAST_CHARS, F.lit(False))
 
 
-def is_front_matter(text: Column) -> Column:
-    """Contents pages and the like, by phrases in the first lines or by dot leaders."""
-    head = F.lower(F.array_join(F.slice(F.split(trimmed(text), "\n"), 1, HEADER_LINES), "\n"))
+def not_blank(text: Column) -> Column:
+    """Stops at the first character that is no white space."""
+    return F.coalesce(text.rlike(r"[^\s\p{Z}]"), F.lit(False))
+
+
+def is_front_matter(text: Column, clean: Column | None = None) -> Column:
+    """Contents pages and the like, by phrases in the first lines or by dot leaders.
+
+    ``clean`` is the trimmed text, where a plan has it already.
+    """
+    clean = trimmed(text) if clean is None else clean
+    head = F.lower(F.substring_index(clean, "\n", HEADER_LINES))
     found = F.lit(False)
     for phrase in FRONT_MATTER_PHRASES:
         found = found | F.contains(head, F.lit(phrase))
     dotted = (_occurrences(text, DOTS) > MANY_DOTS) | (_occurrences(text, SPACED_DOTS) > MANY_SPACED_DOTS)
-    return has_text(text) & (found | dotted)
+    return F.coalesce(F.length(clean) >= LEAST_CHARS, F.lit(False)) & (found | dotted)
 
 
-def density_score(text: Column, tables: Column, table_rows: Column, front_matter: Column) -> Column:
+def density_score(text: Column, tables: Column, table_rows: Column, front_matter: Column, clean: Column | None = None) -> Column:
     """Weighted shares of digits, table-like lines and metric words, rounded half up to two places."""
-    tokens = F.regexp_extract_all(text, F.lit(r"[^\s\p{Z}]+"), F.lit(0))
-    n = F.size(tokens)
-    lines = F.split(trimmed(text), "\n")
-    digits = F.size(F.filter(tokens, lambda t: t.rlike("[0-9]"))) / n
+    clean = trimmed(text) if clean is None else clean
+    n = F.regexp_count(text, F.lit(r"[^\s\p{Z}]++"))
+    lines = F.split(clean, "\n")
+    digits = F.regexp_count(text, F.lit(r"[^\s\p{Z}0-9]*+[0-9][^\s\p{Z}]*+")) / n
     tabular = F.size(F.filter(lines, lambda line: F.regexp_count(line, F.lit(NUMBER)) >= 2)) / F.size(lines)
     metrics = F.regexp_count(text, F.lit(METRIC_PATTERN)) / n
     score = (
@@ -71,4 +80,4 @@ def density_score(text: Column, tables: Column, table_rows: Column, front_matter
         + F.least(F.lit(MOST_CORE_POINTS), F.regexp_count(text, F.lit(CORE_PATTERN)) * CORE_POINTS)
     )
     score = F.when(front_matter, score * FRONT_MATTER_FACTOR).otherwise(score)
-    return F.when(has_text(text), F.floor(score * 100 + 0.5) / 100).otherwise(F.lit(0.0))
+    return F.when(F.coalesce(F.length(clean) >= LEAST_CHARS, F.lit(False)), F.floor(score * 100 + 0.5) / 100).otherwise(F.lit(0.0))

@@ -23,9 +23,11 @@ def with_density(pages: DataFrame) -> DataFrame:
     """Adds is_front_matter and density_score; blank pages go. Missing table counts are those of ``tables``."""
     tables = F.coalesce(F.col("table_count"), F.lit(0))
     rows = F.coalesce(F.col("table_row_count"), F.lit(0))
-    front = density.is_front_matter(F.col("text"))
-    kept = pages.where(trimmed(F.coalesce("text", F.lit(""))) != "").withColumn("is_front_matter", front)
-    return kept.withColumn("density_score", density.density_score(F.col("text"), tables, rows, F.col("is_front_matter")))
+    text, clean = F.col("text"), F.col("__clean")
+    kept = pages.where(density.not_blank(text)).withColumn("__clean", trimmed(text))
+    kept = kept.withColumn("is_front_matter", density.is_front_matter(text, clean))
+    scored = kept.withColumn("density_score", density.density_score(text, tables, rows, F.col("is_front_matter"), clean))
+    return scored.drop("__clean")
 
 
 def effective_gate(max_pages: int | None) -> int | None:

@@ -78,14 +78,14 @@ def from_replies(replies: DataFrame, created_at: Column) -> DataFrame:
 def judge_and_collect(pairs: DataFrame, facts: DataFrame, judge_plugin, created_at: Column) -> DataFrame:  # noqa: ANN001
     """Relationships of all pairs: by rule where it settles them, by the judge (if there is one) otherwise.
 
-    A judge whose reply is an expression (it has ``reply()``) is asked in the same pass over the pairs.
+    A judge that is an expression (it has ``judgement()``) is asked in the same pass over the pairs.
     """
     matched = split_by_rule(pairs, facts)
     if judge_plugin is None:
         return settle(matched, created_at)
-    if not hasattr(judge_plugin, "reply"):
+    if not hasattr(judge_plugin, "judgement"):
         return settle(matched, created_at).unionByName(judge(matched, judge_plugin, created_at))
-    read = matched.withColumn("__j", F.when(~F.col("corroborated"), llmjson.judgement(judge_plugin.reply())))
+    read = matched.withColumn("__j", F.when(~F.col("corroborated"), judge_plugin.judgement()))
     relation = F.when(F.col("corroborated"), "corroborates").otherwise(J.relation_type(F.col("__j.relation_type")))
     rows = read.where("corroborated OR __j IS NOT NULL").select(
         "fact_id_1", "fact_id_2", "match_source", "is_intra_document",

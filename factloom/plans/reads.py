@@ -69,11 +69,19 @@ def list_relationships(relationships: DataFrame, facts: DataFrame, relation_type
     return with_facts(newest, facts, "left")
 
 
+def _with_ends(relationships: DataFrame, facts: DataFrame) -> DataFrame:
+    """Relationships, read once, with ``__1`` and ``__2``: true where that end is among ``facts``, else null."""
+    ids = facts.select("id").distinct()
+    for n in ("1", "2"):
+        ends = ids.select(F.col("id").alias(f"fact_id_{n}"), F.lit(True).alias(f"__{n}"))
+        relationships = relationships.join(ends, f"fact_id_{n}", "left")
+    return relationships
+
+
 def touching_document(relationships: DataFrame, facts: DataFrame, doc_id: str) -> DataFrame:
     """Relationships with a fact of the document at either end."""
-    own = facts.where(F.col("source_doc_id") == doc_id).select("id").distinct()
-    halves = [relationships.join(own.withColumnRenamed("id", c), c, "left_semi").select(*relationships.columns) for c in ("fact_id_1", "fact_id_2")]
-    return halves[0].unionByName(halves[1]).dropDuplicates(["id"])
+    own = facts.where(F.col("source_doc_id") == doc_id)
+    return _with_ends(relationships, own).where("__1 OR __2").select(*relationships.columns)
 
 
 def neighbours(relationships: DataFrame, facts: DataFrame, fact_id: str, how: str) -> DataFrame:
@@ -112,9 +120,7 @@ def canonicals(facts: DataFrame) -> DataFrame:
 
 def dangling(relationships: DataFrame, facts: DataFrame) -> DataFrame:
     """Relationships that name a fact that is not there."""
-    ids = facts.select("id").distinct()
-    lost = [relationships.join(ids.withColumnRenamed("id", c), c, "left_anti").select(*relationships.columns) for c in ("fact_id_1", "fact_id_2")]
-    return lost[0].unionByName(lost[1]).dropDuplicates(["id"])
+    return _with_ends(relationships, facts).where("__1 IS NULL OR __2 IS NULL").select(*relationships.columns)
 
 
 def page_telemetry(scored: DataFrame, max_pages: int | None) -> DataFrame:

@@ -119,8 +119,8 @@ class ReplayExtractor:
 class RuleJudge:
     """Judges by rule, in SQL expressions: other period, other unit, rounding, or contradiction."""
 
-    def reply(self) -> Column:
-        """The reply as an expression over fact_1 and fact_2."""
+    def judgement(self) -> Column:
+        """The judgement as an expression over fact_1 and fact_2: a struct, so nothing is written to text and parsed."""
         one, two = F.split(F.col("fact_1.claim_fingerprint"), "::"), F.split(F.col("fact_2.claim_fingerprint"), "::")
         a, b = (F.replace(F.trim(F.col(f"{n}.value")), F.lit(","), F.lit("")).try_cast("double") for n in ("fact_1", "fact_2"))
         units = [F.lower(F.trim(F.coalesce(F.col(f"{n}.unit"), F.lit("")))) for n in ("fact_1", "fact_2")]
@@ -136,13 +136,11 @@ class RuleJudge:
             .when(factor.isNotNull(), "reconciled")
             .otherwise("contradicts")
         )
-        return F.to_json(
-            F.struct(
-                relation.alias("relation_type"),
-                F.coalesce(factor, F.lit("none")).alias("reconciling_factor"),
-                F.concat(F.lit("By rule: "), relation).alias("explanation"),
-            )
+        return F.struct(
+            relation.alias("relation_type"),
+            F.coalesce(factor, F.lit("none")).alias("reconciling_factor"),
+            F.concat(F.lit("By rule: "), relation).alias("explanation"),
         )
 
     def replies(self, pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("reply", self.reply())
+        return pairs.withColumn("reply", F.to_json(self.judgement()))
