@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from factloom.functions.normalize import trimmed
 
+# Fixed values. --------------------------------------------------------------------------------------------------------
 FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
 FACT_OBJECT = r'\{[^{}]*"subject"[^{}]*\}'
 #: What may close a reply that was cut off, in the order tried; the last is the text up to its last brace.
 FACT_CLOSERS = ("]}", "}", "]", "")
 JUDGE_CLOSERS = ("]}", "}", '"}')
+NO_EXPLANATION = "Extracted relationship."
+# ----------------------------------------------------------------------------------------------------------------------
 
 FACT = (
     "struct<subject:string,attribute:string,value:string,unit:string,temporal_scope:string,conditions:string,"
@@ -78,7 +81,7 @@ def judgement(raw: Column) -> Column:
         F.struct(
             _field(text, "relation_type").alias("relation_type"),
             F.coalesce(_field(text, "reconciling_factor"), F.lit("none")).alias("reconciling_factor"),
-            F.coalesce(_field(text, "explanation", closed=False), F.lit("Extracted relationship.")).alias("explanation"),
+            F.coalesce(_field(text, "explanation", closed=False), F.lit(NO_EXPLANATION)).alias("explanation"),
         ),
     )
     return F.coalesce(whole, loose)
