@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, language, packing, pii, simhash
+from factloom.llm import decontaminate, language, packing, pii, resemblance
 from factloom.llm.common import Scratch
 
 
@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
-    return simhash.keep_one(spark, docs)
+    """One document of each group that five-word shingles link at a resemblance of 0.8 or more, that of the smallest id."""
+    return resemblance.keep_one(spark, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
