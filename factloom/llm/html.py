@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import columns, slices
 
-# A comment, a raw-text element with its content, or a tag; quoted attribute values may hold ">".
+# A comment, a raw-text element with its content (to the end of the page if it is not closed), another dropped element if
+# it is closed, or a tag; quoted attribute values may hold ">". An svg or iframe that ends in "/>" is empty.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|svg|iframe|object|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?!(?:svg|iframe)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>)(noscript|template|select|svg|iframe|title)\b[^>]*>.*?</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>"
     r"|<[!?][^>]*>",
     re.S | re.I,
@@ -126,9 +128,9 @@ def blocks(page: str | None) -> list[Block]:
     for m in _TOKEN.finditer(page):
         text(page[place : m.start()])
         place = m.end()
-        if m[3] is None:
+        if m[4] is None:
             continue
-        tag, closing = m[3].lower(), bool(m[2])
+        tag, closing = m[4].lower(), bool(m[3])
         if tag == "head":
             in_head = not closing
             start_block()
@@ -149,11 +151,11 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
                 if tag == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
-                stack.append((tag, marks_of(tag, m[4], stack[-1][1] if stack else none)))
+                stack.append((tag, marks_of(tag, m[5], stack[-1][1] if stack else none)))
             links = 0
             start_block()
-        elif not closing and m[4] and _ATTRIBUTE.search(m[4]):
-            made = marks_of(tag, m[4], current.marks)
+        elif not closing and m[5] and _ATTRIBUTE.search(m[5]):
+            made = marks_of(tag, m[5], current.marks)
             if made != current.marks and not any(p.strip() for p in current.parts):
                 current.marks = made  # an inline element that is all of the block so far
     text(page[place:])
