@@ -1,15 +1,17 @@
 """Personal data: base patterns, and bootstrapped contextual extraction beside them.
 
-1. One pass over whole texts finds the base entities (the seeds) and every other string of an identifier's shape, each
-   with the lexical patterns around it. Strings that fail a base pattern's test (card digits that fail Luhn, address
-   parts over 255, too few digits) are known negatives and are never discovered.
+1. One pass over whole texts finds the base entities (the seeds) and every other string that may be an identifier, each
+   with the lexical patterns around it. Some have a kind's shape; any other word with a few digits or an at sign is open:
+   its kind is that of the pattern that finds it. Strings that fail a base pattern's test (card digits that fail Luhn,
+   address parts over 255, too few digits) are known negatives and are never discovered.
 2. Patterns and instances form a bipartite graph of distinct (kind, pattern, instance) edges. Spark scores it in
-   rounds: a pattern's confidence is the mean score of its instances if enough different seeds support it; an unseen
-   instance's score is the noisy-or of its confident patterns.
+   rounds, until no confidence rises: a pattern's confidence is the mean score of its instances if enough different
+   seeds support it; an unseen instance's score is the noisy-or of its confident patterns.
 3. Unseen instances in a confident pattern, with a high score themselves, are added to the spans.
 
 Every round is written to the shared folder; edges are pre-aggregated, so copies of a document add nothing and a
-frequent pattern is split by the join's own skew handling.
+frequent pattern is split by the join's own skew handling. Joins with patterns and instances, which grow with the
+input, are merge joins.
 
 Defined results: null text is the empty text. A null ``doc_id`` stays null, repeated rows stay repeated, an empty table
 gives an empty result. Ties of a span between kinds are kept, one span a kind. Other columns are ignored by
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,7 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
 CONFIDENCE = 0.9
 SCORE = 0.8
-ROUNDS = 3
+#: A round in which no confidence rises by more is the last. Scores rise to a limit, so rounds end long before the bound.
+RISE, ROUNDS = 0.005, 40
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -47,6 +50,10 @@ _DIGIT = re.compile(r"[0-9]")
 _MAIL_LIKE = re.compile(r"[^\s<>\"',;:()\[\]]+(?:@|\(at\)|\[at\])[^\s<>\"',;:()\[\]]+\.[^\s<>\"',;:()\[\].]{2,}")
 _COLON_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _NUMBER = re.compile(r"(?<![\w.+-])[(]?[0-9][0-9\x20().-]{5,}[0-9](?![\w])")
+# Any other: a word of 5 to 64 characters, without marks around it, with an at sign or four digits.
+_OPEN = re.compile(r"(?<![^\s(\[<\"':;,=])[^\s()\[\]<>\"':;,=][^\s()\[\]<>\"',;=]{3,62}[^\s()\[\]<>\"'.,;:!?=]")
+_FOUR_DIGITS = re.compile(r"[0-9](?:[^0-9]*[0-9]){3}")
+OPEN = -1
 
 
 def luhn(digits: str) -> bool:
@@ -104,13 +111,24 @@ def shaped(text: str) -> Iterator[tuple[int, int, int]]:
                 yield 3, m.start(), m.end()
 
 
+def open_words(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of words that may be identifiers of any kind."""
+    if _FOUR_DIGITS.search(text) or "@" in text:
+        for m in _OPEN.finditer(text):
+            if "@" in m[0] or _FOUR_DIGITS.search(m[0]):
+                yield m.start(), m.end()
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns around a string: three words before it; two before and one after it.
 
-    Words are in lower case with digits as 0. A pattern needs a cue, a word of five or more letters or one that ends
-    in a colon or equals sign; function words alone are none.
+    Words are in lower case with digits as 0; "^" stands before the start of the text. A pattern needs a cue, a word of
+    five or more letters or one that ends in a colon or equals sign; function words alone are none.
     """
-    before = [_DIGIT.sub("0", w.lower()[-24:]) for w in text[max(0, start - 120) : start].split()[-3:]]
+    near = text[max(0, start - 120) : start]
+    before = [_DIGIT.sub("0", w.lower()[-24:]) for w in near.split()[-3:]]
+    if len(near) == start:
+        before = ["^"] * (3 - len(before)) + before
     after = [_DIGIT.sub("0", w.lower()[:24]) for w in text[end : end + 60].split()[:1]]
     out = []
     if len(before) == 3:
@@ -142,21 +160,35 @@ def scan_text(text: str) -> tuple[list[dict], list[dict]]:
     for kind, s, e in failed:
         add(kind, s, e, -1)
     # What is taken already, as stretches that do not overlap: one look-up a candidate, also in a text full of numbers.
-    starts: list[int] = []
-    stops: list[int] = []
-    for s, e in sorted((s, e) for _, s, e in found + failed):
-        if stops and s < stops[-1]:
-            stops[-1] = max(stops[-1], e)
-        else:
-            starts.append(s)
-            stops.append(e)
-    for kind, s, e in shaped(text):
-        k = bisect.bisect_left(starts, e) - 1
-        if k < 0 or stops[k] <= s:
-            add(kind, s, e, 0)
+    taken = Stretches((s, e) for _, s, e in found + failed)
+    free = [x for x in shaped(text) if not taken.overlaps(x[1], x[2])]
+    for kind, s, e in free:
+        add(kind, s, e, 0)
+    shapes = Stretches((s, e) for _, s, e in free)
+    for s, e in open_words(text):
+        if not taken.overlaps(s, e) and not shapes.overlaps(s, e):
+            add(OPEN, s, e, 0)
     return spans, seen
 
 
+class Stretches:
+    """Stretches of a text, overlapping ones as one."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for s, e in sorted(spans):
+            if self.stops and s < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], e)
+            else:
+                self.starts.append(s)
+                self.stops.append(e)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end) - 1
+        return k >= 0 and self.stops[k] > start
+
+
 def scan(docs: DataFrame, text: str, keep: bool) -> DataFrame:
     """``docs`` (without ``text`` unless ``keep``) with a row number, the base spans and the instances of each text."""
     names = [n for n in docs.columns if keep or n != text]
@@ -184,26 +216,27 @@ def scan(docs: DataFrame, text: str, keep: bool) -> DataFrame:
 
 def confident(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame] | None:
     """(kind, pattern) that discover and (kind, instance) that are discovered; None when no pattern is confident."""
-    scored = edges.select("kind", "pattern", "instance", "state", (F.col("state") == 1).cast("double").alias("score"))
+    score, before = F.when(F.col("state") == 1, 1.0).otherwise(0.0), None
+    scored = edges.withColumn("score", score)
     for i in range(rounds):
-        made = scored.groupBy("kind", "pattern").agg(
-            F.avg("score").alias("confidence"), F.sum((F.col("state") == 1).cast("int")).alias("seeds"), F.min("state").alias("least")
-        )
-        good = scratch.write(
-            made.where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= (CONFIDENCE if i == rounds - 1 else CONFIDENCE / 2))).select("kind", "pattern", "confidence"),
-            "patterns",
-        )
+        made = scored.groupBy("kind", "pattern").agg(F.avg("score").alias("confidence"), F.sum((F.col("state") == 1).cast("int")).alias("seeds"))
+        # Only these can rise: under half the confidence, an instance's score stays under one half too.
+        good = scratch.write(made.where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE / 2)).select("kind", "pattern", "confidence"), "patterns")
         if good.isEmpty():
             return None
         if i == 0:  # written once it is known that they are needed again
             edges = scratch.write(edges, "edges")
-        met = edges.where("state = 0").join(good, ["kind", "pattern"])
+        met = edges.where("state = 0").join(good.hint("merge"), ["kind", "pattern"])
         doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
         found = scratch.write(met.groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("found")), "instances")
-        scored = edges.join(found, ["kind", "instance"], "left").select(
-            "kind", "pattern", "instance", "state", F.when(F.col("state") == 0, F.coalesce("found", F.lit(0.0))).otherwise((F.col("state") == 1).cast("double")).alias("score")
-        )
-    return good.select("kind", "pattern"), found.where(F.col("found") >= SCORE).select("kind", "instance")
+        if before is not None:
+            old = before.withColumnRenamed("confidence", "old").hint("merge")
+            rise = good.join(old, ["kind", "pattern"], "left").agg(F.max(F.col("confidence") - F.coalesce("old", F.lit(0.0)))).first()[0]
+            if rise <= RISE:
+                break
+        before = good
+        scored = edges.join(found.hint("merge"), ["kind", "instance"], "left").withColumn("score", F.when(F.col("state") == 0, F.coalesce("found", F.lit(0.0))).otherwise(score))
+    return good.where(F.col("confidence") >= CONFIDENCE).select("kind", "pattern"), found.where(F.col("found") >= SCORE).select("kind", "instance")
 
 
 def discovered(scanned: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -213,11 +246,22 @@ def discovered(scanned: DataFrame, scratch: Scratch) -> DataFrame | None:
     # An instance that is a seed anywhere is a seed; one that fails is a negative.
     edges = exploded.groupBy("kind", "pattern", "instance").agg(F.max("state").alias("high"), F.min("state").alias("low"))
     edges = edges.select("kind", "pattern", "instance", F.when(F.col("low") < 0, F.lit(-1)).otherwise(F.col("high")).alias("state"))
-    best = confident(edges, scratch)
+    edges = scratch.write(edges, "seen")
+    # An open word takes the kinds of the patterns it stands in that have seeds enough.
+    seeded = edges.where("state = 1").groupBy("kind", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).drop("n")
+    seeded = scratch.write(seeded, "seeded")
+    if seeded.isEmpty():
+        return None
+    kinds = seeded.select(F.col("kind").alias("as"), "pattern").hint("merge")
+    open_edges = edges.where(F.col("kind") == OPEN).join(kinds, "pattern").select(F.col("as").alias("kind"), "pattern", "instance", "state")
+    # Edges of patterns without seeds play no part.
+    own = edges.where(F.col("kind") != OPEN).join(seeded.hint("merge"), ["kind", "pattern"], "left_semi")
+    best = confident(own.unionByName(open_edges).distinct(), scratch)
     if best is None:
         return None
     good, instances = best
-    hits = exploded.where("state = 0").join(good, ["kind", "pattern"]).join(instances, ["kind", "instance"])
+    unseen = exploded.where("state = 0").withColumnRenamed("kind", "shape").join(good.hint("merge"), "pattern").where((F.col("shape") == F.col("kind")) | (F.col("shape") == OPEN))
+    hits = unseen.join(instances.hint("merge"), ["kind", "instance"])
     spans = hits.select("__rid", F.struct("kind", "start", "stop").alias("span")).distinct()
     added = scratch.write(spans.groupBy("__rid").agg(F.collect_list("span").alias("__added")), "added")
     return None if added.isEmpty() else added
@@ -229,7 +273,7 @@ def with_added(scanned: DataFrame, scratch: Scratch) -> DataFrame:
     added = discovered(scanned, scratch)
     if added is None:
         return scanned.withColumn("__added", none)
-    return scanned.join(added, "__rid", "left").withColumn("__added", F.coalesce("__added", none))
+    return scanned.join(added.hint("merge"), "__rid", "left").withColumn("__added", F.coalesce("__added", none))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
