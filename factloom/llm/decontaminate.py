@@ -1,14 +1,16 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame functions only.
 
-1. Corpus frequencies of the benchmark's terms are counted over all documents.
-2. A phrase (a window of ``WINDOW`` consecutive item words; a shorter item is one window) is looked up from its rarest
-   term, so only postings of such terms are stored: term, document key, position, and the words around the position,
-   which are the document's position lists near it.
-3. A posting and a phrase meet on the rarest term. Offsets adjusted, the phrase's other terms are intersected from the
-   next rarest on, and the whole phrase is compared last.
-
-Documents stand for their text's key, so copies add no groups. A benchmark of more than ``BLOCK_BYTES`` is taken in
-blocks of about that size; the terms sent to all tasks are those of one block, so their size is bounded.
+1. Corpus frequencies of the benchmark's terms are counted over all documents, and every phrase (a window of ``WINDOW``
+   consecutive item words; a shorter item is one window) gets its ``LISTS`` rarest terms with their offsets.
+2. The postings of those terms are stored once: term, document key, position. Postings of a phrase's rarest term also
+   have the words around the position, as far as phrases of that term reach.
+3. The rarest term's list gives places where a phrase can start. Offsets adjusted, they are intersected with the next
+   rarest term's list and the one after it, and the whole phrase is compared last.
+
+A term's postings and the phrases that start from it are dealt by the term and a salt, as many salts as its frequency
+asks for, so a frequent term is not one task. Documents stand for their text's key. The benchmark's terms are sent to
+all tasks in blocks of ``BLOCK_BYTES``: a pass over the corpus for that many different terms, whatever the number and
+length of the items.
 
 Defined results: null and wordless texts have no words and are not contaminated; null and wordless items have no
 windows; items with a null id are left out. Repeated rows stay repeated, repeated items count once, empty tables give
@@ -18,6 +20,7 @@ empty or clean results, other columns are ignored by ``contamination`` and kept
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +28,22 @@ from pyspark.sql import functions as F
 from factloom.llm.common import Scratch, columns, text_key
 
 WINDOW = 13
+#: Terms, in bytes, that are sent to all tasks at a time.
 BLOCK_BYTES = 4 << 20
+#: Position lists of a phrase that are intersected.
+LISTS = 3
+#: Postings of a term that share a salt.
+SALTED = 20_000
 #: Contaminated: at least one word in twenty is hit.
 SHARE = 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
+    """A-Z in lower case. Where all characters are ASCII that is what ``lower`` does, in less time."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
 def words_of(text: Column) -> Column:
@@ -50,75 +59,93 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.groupBy("phrase").agg(F.collect_set("item_id").alias("items"))
 
 
-def with_rarest(found: DataFrame, docs_words: DataFrame) -> DataFrame:
-    """Each phrase with its rarest and next rarest term in the corpus and their offsets."""
-    terms = found.select(F.explode("phrase").alias("term")).distinct()
-    counted = docs_words.select(F.explode("ws").alias("term")).join(F.broadcast(terms), "term").groupBy("term").count()
-    placed = found.select("phrase", F.posexplode("phrase").alias("at", "term")).join(counted, "term", "left")
-    per = placed.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "at", "term"))).alias("t"))
-    first = F.col("t")[0]
-    # The next rarest of the other positions; a phrase of one word has none.
-    after = F.get("t", F.lit(1))
-    rare = per.select(
-        "phrase",
-        first["n"].alias("n"),
-        first["term"].alias("term"),
-        first["at"].alias("offset"),
-        F.coalesce(after["term"], first["term"]).alias("term2"),
-        F.coalesce(after["at"], first["at"]).alias("offset2"),
-    )
-    # A term the corpus does not have rules its phrase out.
-    return found.join(rare.where("n > 0").drop("n"), "phrase")
+def blocks_of(terms: DataFrame) -> list[DataFrame]:
+    """The rows of ``terms`` (with a column term) in blocks of about ``BLOCK_BYTES``."""
+    total = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    n = max(1, math.ceil(total / BLOCK_BYTES))
+    if n == 1:
+        return [terms]
+    return [terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i) for i in range(n)]
+
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """The index of some terms: term, key, n_words, pos (from 0), near (words pos - reach .. pos + reach), near_start.
 
-    ``terms`` is sent to all tasks: the caller bounds its size. Words are exploded and probed in one stage; only
-    matching positions are ever copied.
+def with_rarest(found: DataFrame, docs_words: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each phrase with a number ``pid`` and ``rare``: its rarest terms in the corpus, with their offsets and frequencies.
+
+    A term the corpus does not have rules its phrase out.
     """
-    words = docs.select(text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("ws"))
-    at = words.select("key", "ws", F.posexplode("ws").alias("pos", "term")).join(F.broadcast(terms), "term")
-    start = F.greatest(F.lit(0), F.col("pos") - reach)
-    near = F.slice("ws", start + 1, F.col("pos") - start + 1 + reach)
-    return at.select("term", "key", F.size("ws").alias("n_words"), "pos", start.alias("near_start"), near.alias("near"))
+    terms = scratch.write(found.select(F.explode("phrase").alias("term")).distinct(), "terms")
+    occurring = docs_words.select(F.explode("ws").alias("term"))
+    counted = union([occurring.join(F.broadcast(block), "term").groupBy("term").count() for block in blocks_of(terms)])
+    placed = found.select("phrase", F.posexplode("phrase").alias("at", "term")).join(counted, "term", "left")
+    each = F.struct(F.coalesce("count", F.lit(0)).alias("n"), "at", "term")
+    rare = placed.groupBy("phrase").agg(F.slice(F.sort_array(F.collect_list(each)), 1, LISTS).alias("rare"))
+    made = found.join(rare.where(F.col("rare")[0]["n"] > 0), "phrase").withColumn("pid", F.monotonically_increasing_id())
+    return scratch.write(made, "phrases")
 
 
-def exact_matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n_words, items, and the first and next position of every occurrence of a phrase."""
-    size, start = F.size("phrase"), F.col("pos") - F.col("offset")
-    second = F.get("near", start + F.col("offset2") - F.col("near_start"))
-    met = index.join(wanted, "term").where((start >= 0) & (start + size <= F.col("n_words")) & (second == F.col("term2")))
-    whole = F.slice("near", start - F.col("near_start") + 1, size) == F.col("phrase")
-    return met.where(whole).select("key", "n_words", "items", start.alias("first"), (start + size).alias("next"))
+def salts(n: Column) -> Column:
+    return F.floor(n / SALTED).cast("int") + 1
 
 
-def blocks_of(items: DataFrame) -> list[DataFrame]:
-    """The items in blocks of about ``BLOCK_BYTES`` of text, by a hash of their ids."""
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / BLOCK_BYTES))
-    if n == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+def postings(docs: DataFrame, wanted: DataFrame, scratch: Scratch, back: Column, ahead: Column) -> DataFrame:
+    """The index of all rarest terms: term, salt, key, n_words, pos (from 0), near (words of the text from near_start).
+
+    ``near`` covers what ``back`` and ``ahead`` ask for around the rarest term of a phrase and is empty for terms that
+    are no phrase's rarest. Words are exploded and probed in one stage; only matching positions are copied.
+    """
+    lead = wanted.select(F.col("rare")[0].alias("r"), back.alias("back"), ahead.alias("ahead"))
+    others = wanted.select(F.explode(F.slice("rare", 2, LISTS)).alias("r"), F.lit(None).cast("int").alias("back"), F.lit(None).cast("int").alias("ahead"))
+    terms = lead.union(others).groupBy(F.col("r.term").alias("term")).agg(
+        F.max("back").alias("back"), F.max("ahead").alias("ahead"), F.max(salts(F.col("r.n"))).alias("salts")
+    )
+    terms = scratch.write(terms, "rarest")
+    words = docs.select(text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("ws"))
+    start = F.greatest(F.lit(0), F.col("pos") - F.col("back"))
+    near = F.when(F.col("back").isNotNull(), F.slice("ws", start + 1, F.col("pos") - start + 1 + F.col("ahead")))
+    parts = []
+    for block in blocks_of(terms):
+        at = words.select("key", "ws", F.posexplode("ws").alias("pos", "term")).join(F.broadcast(block), "term")
+        salt = F.pmod(F.hash("key", "pos"), F.col("salts")).alias("salt")
+        parts.append(at.select("term", salt, "key", F.size("ws").alias("n_words"), "pos", start.alias("near_start"), near.alias("near")))
+    return scratch.write(union(parts), "postings")
+
+
+def starts_of(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Places (key, first) where a phrase can start by its rarest term, with the phrase and the words around."""
+    lead = F.col("rare")[0]
+    asked = wanted.select("pid", "phrase", "rare", lead["term"].alias("term"), lead["at"].alias("offset"), lead["n"].alias("n"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), salts(F.col("n")) - 1)).alias("salt")).drop("n")
+    met = index.where("near IS NOT NULL").join(asked, ["term", "salt"]).withColumn("first", F.col("pos") - F.col("offset"))
+    return met.where((F.col("first") >= 0) & (F.col("first") + F.size("phrase") <= F.col("n_words")))
+
+
+def exact_matches(index: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """pid, key, n_words, and the first and next position of every occurrence of a phrase."""
+    places = index.select("term", "key", "pos").distinct()
+    open_ = starts_of(index, wanted).select("pid", "phrase", "rare", "key", "n_words", "first", "near", "near_start")
+    for k in range(1, LISTS):
+        listed = F.get("rare", F.lit(k))
+        asked = open_.withColumn("term", listed["term"]).withColumn("pos", F.col("first") + listed["at"])
+        # Phrases of fewer terms have no such list.
+        open_ = asked.where("term IS NOT NULL").join(places, ["term", "key", "pos"], "left_semi").unionByName(asked.where("term IS NULL")).drop("term", "pos")
+        open_ = scratch.write(open_, f"lists_{k + 1}")
+    whole = F.slice("near", F.col("first") - F.col("near_start") + 1, F.size("phrase")) == F.col("phrase")
+    return open_.where(whole).select("pid", "key", "n_words", "first", (F.col("first") + F.size("phrase")).alias("next"))
 
 
 def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """For each text with a hit: key, n_words, n_hit, ids of the items that occur."""
     texts = columns(docs, text="text").select(F.col("text").cast("string").alias("text"))
-    found = []
-    for block in blocks_of(columns(items, item_id="item_id", text="text")):
-        wanted = phrases(block, window)
-        wanted = scratch.write(with_rarest(wanted, texts.select(words_of(F.col("text")).alias("ws"))), "phrases")
-        index = scratch.write(postings(texts, wanted.select("term").distinct(), window - 1), "postings")
-        found.append(exact_matches(index, wanted))
-    matches = found[0]
-    for more in found[1:]:
-        matches = matches.union(more)
-    per = matches.groupBy("key").agg(
-        F.first("n_words").alias("n_words"),
-        F.sort_array(F.collect_set(F.struct("first", "next"))).alias("spans"),
-        F.collect_set("items").alias("items"),
-    )
+    found = scratch.write(phrases(items, window), "windows")
+    wanted = with_rarest(found, texts.select(words_of(F.col("text")).alias("ws")), scratch)
+    offset = F.col("rare")[0]["at"]
+    index = postings(texts, wanted.select("phrase", "rare"), scratch, offset, F.size("phrase") - 1 - offset)
+    matches = scratch.write(exact_matches(index, wanted, scratch), "matches")
+    spans = matches.groupBy("key").agg(F.first("n_words").alias("n_words"), F.sort_array(F.collect_set(F.struct("first", "next"))).alias("spans"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("until")),
@@ -128,7 +155,9 @@ def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WIND
         ),
         lambda a: a["n"],
     )
-    made = per.select("key", "n_words", covered.cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
+    named = matches.select("key", "pid").distinct().join(wanted.select("pid", F.explode("items").alias("item")), "pid")
+    named = named.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    made = spans.join(named, "key").select("key", "n_words", covered.cast("long").alias("n_hit"), "items")
     return scratch.write(made, "hits")
 
 
@@ -142,7 +171,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     rows = columns(docs, doc_id="doc_id", text="text").select(
         "doc_id",
         text_key(F.col("text").cast("string")).alias("key"),
-        F.regexp_count(lower_ascii(F.col("text").cast("string")), F.lit(_WORD)).cast("long").alias("n_words"),
+        F.size(words_of(F.col("text").cast("string"))).cast("long").alias("n_words"),
     )
     out = rows.join(found, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -168,23 +197,22 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, wi
 def proximity_matches(spark: SparkSession, docs: DataFrame, queries: DataFrame, reach: int) -> DataFrame:
     """doc_id and item_id where all terms of the item stand within ``reach`` words of one place of its rarest term.
 
-    For short queries; rows with null ids are left out of the queries and kept null in documents.
+    For short queries; rows with null ids are left out of the queries and kept null in documents. Empty tables give no
+    matches.
     """
     scratch = Scratch(spark, "proximity")
     rows = columns(queries, item_id="item_id", text="text").where("item_id IS NOT NULL")
     whole = rows.select("item_id", F.array_sort(F.array_distinct(words_of(F.col("text")))).alias("phrase")).where(F.size("phrase") > 0)
+    found = scratch.write(whole.groupBy("phrase").agg(F.collect_set("item_id").alias("items")), "queries")
     texts = columns(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string"))
-    found = None
-    for block in blocks_of(rows):
-        own = whole.join(block.select("item_id").distinct(), "item_id", "left_semi")
-        wanted = own.groupBy("phrase").agg(F.collect_set("item_id").alias("items"))
-        wanted = scratch.write(with_rarest(wanted, texts.select(words_of(F.col("text")).alias("ws"))), "phrases")
-        index = scratch.write(postings(texts.select("text"), wanted.select("term").distinct(), reach), "postings")
-        met = index.join(wanted, "term").where(F.size(F.array_intersect("phrase", "near")) == F.size("phrase"))
-        made = met.select("key", F.explode("items").alias("item_id")).distinct()
-        found = made if found is None else found.union(made)
+    wanted = with_rarest(found, texts.select(words_of(F.col("text")).alias("ws")), scratch)
+    index = postings(texts.select("text"), wanted.select("phrase", "rare"), scratch, F.lit(reach), F.lit(reach))
+    lead = F.col("rare")[0]
+    asked = wanted.select("phrase", "items", lead["term"].alias("term"), F.explode(F.sequence(F.lit(0), salts(lead["n"]) - 1)).alias("salt"))
+    met = index.where("near IS NOT NULL").join(asked, ["term", "salt"]).where(F.size(F.array_intersect("phrase", "near")) == F.size("phrase"))
+    found = met.select("key", F.explode("items").alias("item_id")).distinct()
     keyed = texts.select("doc_id", text_key(F.col("text")).alias("key"))
-    return keyed.join(scratch.write(found.distinct(), "found"), "key").select("doc_id", "item_id")
+    return keyed.join(scratch.write(found, "found"), "key").select("doc_id", "item_id")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
