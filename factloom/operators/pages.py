@@ -19,12 +19,21 @@ DEFAULT_GATE = 15
 PROMPT_CHARS = 2400
 
 
+def with_table_counts(pages: DataFrame) -> DataFrame:
+    """Missing table counts are those of ``tables``, where there is such a column: tables that have rows, and their rows."""
+    known = {"table_count": F.lit(0), "table_row_count": F.lit(0)}
+    if "tables" in pages.columns:
+        filled = F.filter(F.coalesce("tables", F.array().cast(pages.schema["tables"].dataType)), lambda t: F.size(t) > 0)
+        known = {"table_count": F.size(filled), "table_row_count": F.aggregate(filled, F.lit(0), lambda n, t: n + F.size(t))}
+    given = {c: F.coalesce(F.col(c), n) if c in pages.columns else n for c, n in known.items()}
+    return pages.withColumns(given)
+
+
 def with_density(pages: DataFrame) -> DataFrame:
     """Adds is_front_matter and density_score; blank pages go. Missing table counts are those of ``tables``."""
-    tables = F.coalesce(F.col("table_count"), F.lit(0))
-    rows = F.coalesce(F.col("table_row_count"), F.lit(0))
+    tables, rows = F.col("table_count"), F.col("table_row_count")
     text, clean = F.col("text"), F.col("__clean")
-    kept = pages.where(density.not_blank(text)).withColumn("__clean", trimmed(text))
+    kept = with_table_counts(pages.where(density.not_blank(text))).withColumn("__clean", trimmed(text))
     kept = kept.withColumn("is_front_matter", density.is_front_matter(text, clean))
     scored = kept.withColumn("density_score", density.density_score(text, tables, rows, F.col("is_front_matter"), clean))
     return scored.drop("__clean")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import llmjson
+from factloom.functions import density, llmjson
 from factloom.operators import facts as facts_op
 from factloom.operators import matching, pages, reconcile
 from factloom.plans import reads
+from factloom.sources import files
 from factloom.sources.store import Store
 
 
@@ -28,49 +31,81 @@ class Engine:
         return facts_op.resolve(llmjson.explode_facts(replies, "reply").withColumn("created_at", F.current_timestamp()))
 
     def ingest(self, page_rows: DataFrame, max_pages: int | None = None, candidates: int | None = matching.CANDIDATES_PER_INGEST) -> DataFrame:
-        """Store documents, their facts and their relationships; one row a document with counts and a status."""
-        kept = pages.gate(page_rows.where(F.trim(F.coalesce("text", F.lit(""))) != ""), pages.effective_gate(max_pages))
+        """Store documents, their facts and their relationships; one row a document with counts and a status.
+
+        All of it is one version of the store, so a run that is cut off leaves nothing behind, and documents that are
+        stored already are replaced. If extraction or judging fails, what was made before is stored and the status is
+        ``partial_error`` with the error as ``message``.
+        """
+        store = self.store
+        kept = pages.gate(page_rows.where(density.not_blank(F.col("text"))), pages.effective_gate(max_pages))
         docs = page_rows.groupBy("doc_id").agg(F.first("doc_name").alias("doc_name"), F.count("*").cast("int").alias("total_pages"))
         counted = kept.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count"))
         docs = docs.join(counted, "doc_id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0)))
         docs = docs.withColumn("created_at", F.current_timestamp())
-        if self.extractor is None:
-            self.store.commit(documents=docs)
-            return self._status(page_rows, "parsed_only")
-        version = self.store.commit(documents=docs, facts=self.extract(page_rows, max_pages))
-        new = self.spark.read.parquet(self.store.manifest(version)["facts"][-1][0])
-        self.link(new, candidates)
-        return self._status(page_rows, "extracted")
-
-    def link(self, new: DataFrame, candidates: int | None = matching.CANDIDATES_PER_INGEST) -> None:
-        """Judge the new facts' candidate pairs and store the relationships."""
-        everything = self.store.facts()
-        pairs = matching.candidates(new, everything, self.store.relationships().select("fact_id_1", "fact_id_2"))
-        pairs = matching.top_candidates(pairs, candidates)
-        self.store.commit(relationships=reconcile.judge_and_collect(pairs, everything, self.judge, F.current_timestamp()))
+        ids = page_rows.select("doc_id").distinct()
+        staged = [store.stage(tombstones=store.tombstones(ids), documents=docs)]
+        status, message = "parsed_only", ""
+        if self.extractor is not None:
+            status, message = self._extend(staged, page_rows, max_pages, candidates)
+        store.publish(*staged)
+        return self._status(page_rows, status, message)
+
+    def _extend(self, staged: list[dict[str, str]], page_rows: DataFrame, max_pages: int | None, candidates: int | None) -> tuple[str, str]:
+        """Stage the facts of pages and their relationships; (status, message)."""
+        try:
+            staged.append(self.store.stage(facts=self.extract(page_rows, max_pages)))
+            new = self.store.read("facts", [staged[-1]["facts"]]).drop("__v")
+            everything = self.store.facts(staged)
+            judged = self.store.relationships(staged).select("fact_id_1", "fact_id_2")
+            pairs = matching.top_candidates(matching.candidates(new, everything, judged), candidates)
+            made = reconcile.judge_and_collect(pairs, everything, self.judge, F.current_timestamp())
+            staged.append(self.store.stage(relationships=made))
+        except Exception as e:  # a plug-in may raise anything; the status says what
+            return "partial_error", str(e)
+        return "extracted", ""
+
+    def ingest_sample(self, root: str, key: str, reader: Callable[[bytes, str], list[dict]], max_pages: int | None = None) -> DataFrame:
+        """Find the document file with a key below ``root``, read its pages and ingest them."""
+        found = files.find_files(self.spark, root).where(F.col("key") == key).first()
+        if found is None:
+            raise KeyError(f"no sample {key}")
+        content = self.spark.read.format("binaryFile").load(found.path)
+        return self.ingest(files.read_pages(content, reader), max_pages)
 
     def reprocess(self, page_rows: DataFrame, max_pages: int | None = None) -> DataFrame:
-        """Extract one document anew, in place of its facts and relationships."""
+        """Extract one document anew, in place of its facts and relationships; its document row stays as it is.
+
+        If extraction fails, what was stored stays.
+        """
         doc_id = page_rows.select("doc_id").first()[0]
-        facts = self.extract(page_rows, max_pages)
         docs = self.store.documents().where(F.col("doc_id") == doc_id)
-        self.store.replace_document(doc_id, docs, facts)
-        self.link(self.store.facts().where(F.col("source_doc_id") == doc_id))
-        return self._status(page_rows, "extracted")
+        staged = [self.store.stage(tombstones=self.store.tombstones(docs.select("doc_id")), documents=docs)]
+        status, message = self._extend(staged, page_rows, max_pages, matching.CANDIDATES_PER_INGEST)
+        if any("facts" in s for s in staged):
+            self.store.publish(*staged)
+        return self._status(page_rows, status, message)
 
-    def _status(self, page_rows: DataFrame, status: str) -> DataFrame:
+    def _status(self, page_rows: DataFrame, status: str, message: str) -> DataFrame:
         ids = page_rows.select("doc_id").distinct()
         listed = self.documents().join(ids, "doc_id", "left_semi")
         edges = reads.relationship_counts(self.store.relationships(), self.store.facts())
         out = listed.join(edges, "doc_id", "left").select(
             "doc_id", "doc_name", "page_count", "fact_count", F.coalesce("relationship_count", F.lit(0)).alias("relationship_count")
         )
-        return out.withColumn("status", F.lit(status))
+        return out.withColumn("status", F.lit(status)).withColumn("message", F.lit(message))
+
+    def preview(self, doc_id: str) -> tuple[DataFrame, DataFrame]:
+        """The first facts and relationships of an ingested document."""
+        facts = reads.list_facts(self.store.facts(), doc_id, limit=reads.PREVIEW_FACTS)
+        edges = reads.touching_document(self.store.relationships(), self.store.facts(), doc_id)
+        return facts, edges.orderBy("created_at", "id").limit(reads.PREVIEW_RELATIONSHIPS)
 
     # Reads ------------------------------------------------------------------------------------------------------------
 
     def documents(self) -> DataFrame:
-        return reads.documents_with_counts(self.store.documents(), self.store.facts())
+        """All documents from the newest, with their numbers of facts."""
+        return reads.newest_first(reads.documents_with_counts(self.store.documents(), self.store.facts()))
 
     def document(self, doc_id: str) -> DataFrame:
         edges = reads.relationship_counts(self.store.relationships(), self.store.facts())
@@ -79,14 +114,22 @@ class Engine:
     def facts(self, doc_id: str | None = None, search: str | None = None, limit: int = 500, limit_then_search: bool = False) -> DataFrame:
         return reads.list_facts(self.store.facts(), doc_id, search, limit, limit_then_search)
 
+    def fact(self, fact_id: str) -> DataFrame:
+        return self.store.facts().where(F.col("id") == fact_id)
+
     def fact_detail(self, fact_id: str) -> DataFrame:
-        return reads.neighbours(self.store.relationships(), self.store.facts(), fact_id, "inner")
+        """A row for each related fact: the relationship, ``target_fact``, and the fact itself as ``fact``."""
+        own = self.fact(fact_id).select(F.col("id").alias("__id"), F.struct("*").alias("fact"))
+        met = reads.neighbours(self.store.relationships(), self.store.facts(), fact_id, "inner")
+        return met.withColumn("__id", F.lit(fact_id)).join(own, "__id").drop("__id")
 
     def fact_related(self, fact_id: str) -> DataFrame:
         return reads.neighbours(self.store.relationships(), self.store.facts(), fact_id, "left")
 
-    def relationships(self, relation_type: str | None = None, limit: int = 500) -> DataFrame:
-        return reads.list_relationships(self.store.relationships(), self.store.facts(), relation_type, limit)
+    def relationships(
+        self, relation_type: str | None = None, limit: int = 500, cross_document: bool = False, doc_id: str | None = None
+    ) -> DataFrame:
+        return reads.list_relationships(self.store.relationships(), self.store.facts(), relation_type, limit, cross_document, doc_id)
 
     def relationship(self, relationship_id: str) -> DataFrame:
         return reconcile.with_facts(self.store.relationships().where(F.col("id") == relationship_id), self.store.facts(), "left")
@@ -123,8 +166,9 @@ class Engine:
         pair = self.spark.createDataFrame([(*ids, "fuzzy")], "fact_id_1 string, fact_id_2 string, match_source string")
         met = reconcile.with_facts(pair, facts).withColumn("is_intra_document", F.col("fact_1.source_doc_id") == F.col("fact_2.source_doc_id"))
         made = reconcile.from_replies(self.judge.replies(met), F.current_timestamp())
-        version = self.store.commit(relationships=made)
-        return self.spark.read.parquet(self.store.manifest(version)["relationships"][-1][0])
+        staged = self.store.stage(relationships=made)
+        self.store.publish(staged)
+        return self.store.read("relationships", [staged["relationships"]]).drop("__v")
 
     def delete_document(self, doc_id: str) -> bool:
         return self.store.delete_document(doc_id)

@@ -12,6 +12,7 @@ from factloom.operators.reconcile import with_facts
 SERVER_FIELDS = ("subject", "attribute", "value", "evidence_quote")
 CLIENT_FIELDS = (*SERVER_FIELDS, "subject_normalized", "attribute_normalized")
 LEAST_LIMIT, MOST_LIMIT = 1, 2000
+PREVIEW_FACTS, PREVIEW_RELATIONSHIPS = 15, 10
 
 
 def checked_limit(limit: int) -> int:
@@ -60,9 +61,20 @@ def fact_view(facts: DataFrame) -> DataFrame:
     )
 
 
-def list_relationships(relationships: DataFrame, facts: DataFrame, relation_type: str | None = None, limit: int = 500, cross_document: bool = False) -> DataFrame:
-    """Relationships from the newest, with their facts (null where one is missing)."""
-    rows = relationships if relation_type is None else relationships.where(F.col("relation_type") == relation_type)
+def list_relationships(
+    relationships: DataFrame,
+    facts: DataFrame,
+    relation_type: str | None = None,
+    limit: int = 500,
+    cross_document: bool = False,
+    doc_id: str | None = None,
+) -> DataFrame:
+    """Relationships from the newest, with their facts (null where one is missing).
+
+    ``cross_document`` leaves out those inside one document, ``doc_id`` those that don't touch the document.
+    """
+    rows = relationships if doc_id is None else touching_document(relationships, facts, doc_id)
+    rows = rows if relation_type is None else rows.where(F.col("relation_type") == relation_type)
     if cross_document:
         rows = rows.where(~F.col("is_intra_document"))
     newest = rows.orderBy(F.desc("created_at"), "id").limit(checked_limit(limit))
@@ -97,6 +109,21 @@ def documents_with_counts(documents: DataFrame, facts: DataFrame) -> DataFrame:
     return documents.join(counts, "doc_id", "left").withColumn("fact_count", F.coalesce("fact_count", F.lit(0).cast("long")))
 
 
+def newest_first(documents: DataFrame) -> DataFrame:
+    return documents.orderBy(F.desc("created_at"), "doc_id")
+
+
+def table_counts(pages: DataFrame) -> DataFrame:
+    """Per document: pages with text, pages with tables, tables and table rows."""
+    counted = pages_op.with_table_counts(pages.where(density.not_blank(F.col("text"))))
+    return counted.groupBy("doc_id").agg(
+        F.count("*").alias("pages"),
+        F.count_if(F.col("table_count") > 0).alias("pages_with_tables"),
+        F.sum("table_count").cast("long").alias("tables"),
+        F.sum("table_row_count").cast("long").alias("table_rows"),
+    )
+
+
 def relationship_counts(relationships: DataFrame, facts: DataFrame) -> DataFrame:
     """Per document the number of relationships that touch it."""
     ends = relationships.select("id", F.explode(F.array("fact_id_1", "fact_id_2")).alias("fact_id"))

@@ -55,38 +55,55 @@ def pair_prompt(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("prompt", F.concat(F.lit("Fact 1"), *fact("fact_1"), F.lit("\n\nFact 2"), *fact("fact_2"), F.lit("\n\nHint: "), hint, ask))
 
 
-def retrying(call: Callable[[str], str], tries: int = 4, pause: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
-    """``call`` with retries on rate limits: the pause grows, or is what the error asks for plus a second."""
-    limits = ("429", "quota", "rate limit", "resource_exhausted")
+# Fixed values. --------------------------------------------------------------------------------------------------------
+LIMIT_MARKS = ("429", "quota", "rate limit", "resource_exhausted")
+ASKED_WAIT = r"try again in ([0-9.]+)s"
+TRIES, PAUSE, EXTRA_WAIT = 4, 3.0, 1.0
+# ----------------------------------------------------------------------------------------------------------------------
 
-    def run(prompt: str) -> str | None:
+
+def attempting(call: Callable[[str], str], tries: int = TRIES, pause: float = PAUSE, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[str | None, str | None]]:
+    """(reply, error) of ``call`` with retries on rate limits: the pause grows, or is what the error asks for and a
+    second more. A reply that can't be had is None, with the last error."""
+
+    def run(prompt: str) -> tuple[str | None, str | None]:
+        said = ""
         for attempt in range(tries):
             try:
-                return call(prompt)
-            except Exception as e:  # a model's client may raise anything; a lost reply is an empty one
-                said = str(e).lower()
-                if attempt + 1 == tries or not any(x in said for x in limits):
-                    return None
-                asked = re.search(r"try again in ([0-9.]+)s", said)
-                sleep(max(pause * (attempt + 1), float(asked[1]) + 1 if asked else 0.0))
-        return None
+                return call(prompt), None
+            except Exception as e:  # a model's client may raise anything
+                said = str(e)
+                if attempt + 1 == tries or not any(x in said.lower() for x in LIMIT_MARKS):
+                    break
+                asked = re.search(ASKED_WAIT, said.lower())
+                sleep(max(pause * (attempt + 1), float(asked[1]) + EXTRA_WAIT if asked else 0.0))
+        return None, said
 
     return run
 
 
-def _ask(rows: DataFrame, call: Callable[[str], str | None]) -> DataFrame:
+def retrying(call: Callable[[str], str], tries: int = TRIES, pause: float = PAUSE, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
+    """The reply alone."""
+    run = attempting(call, tries, pause, sleep)
+    return lambda prompt: run(prompt)[0]
+
+
+def _ask(rows: DataFrame, call: Callable[[str], tuple[str | None, str | None]]) -> DataFrame:
+    """__id, reply and error of each prompt."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"__id": batch["__id"], "reply": [call(p) for p in batch["prompt"]]})
+            made = [call(p) for p in batch["prompt"]]
+            yield pd.DataFrame({"__id": batch["__id"], "reply": [r for r, _ in made], "error": [e for _, e in made]})
 
-    return rows.mapInPandas(run, "__id string, reply string")
+    return rows.mapInPandas(run, "__id string, reply string, error string")
 
 
 class PromptExtractor:
-    """Calls a function with each page's prompt."""
+    """Calls a function with each page's prompt; ``error`` says why a reply is missing."""
 
     def __init__(self, call: Callable[[str], str]):
-        self.call = retrying(call)
+        self.call = attempting(call)
 
     def replies(self, pages: DataFrame) -> DataFrame:
         keyed = extraction_prompt(pages).withColumn("__id", F.concat_ws("\x1f", "doc_id", F.col("page_number").cast("string")))
@@ -95,10 +112,10 @@ class PromptExtractor:
 
 
 class PromptJudge:
-    """Calls a function with each pair's prompt."""
+    """Calls a function with each pair's prompt; ``error`` says why a reply is missing."""
 
     def __init__(self, call: Callable[[str], str]):
-        self.call = retrying(call)
+        self.call = attempting(call)
 
     def replies(self, pairs: DataFrame) -> DataFrame:
         keyed = pair_prompt(pairs).withColumn("__id", F.concat_ws("\x1f", "fact_id_1", "fact_id_2"))

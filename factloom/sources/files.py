@@ -37,23 +37,34 @@ def find_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("category NOT LIKE '.%'").groupBy("key").agg(F.max_by(F.struct("title", "category", "filename", "path", "length"), "path").alias("f")).select("key", "f.*")
 
 
-def read_pages(files: DataFrame, reader: Callable[[bytes, str], list[dict]]) -> DataFrame:
-    """Page rows of binary files (path, content). ``reader`` gives a file's pages as dictionaries of page_number, text,
-    table_count and table_row_count; a file that it can't read gives none."""
+def attempted_pages(files: DataFrame, reader: Callable[[bytes, str], list[dict]]) -> DataFrame:
+    """Page rows of binary files (path, content), and ``error``. ``reader`` gives a file's pages as dictionaries of
+    page_number, text, table_count and table_row_count; a file for which it raises a ValueError is one row that says so."""
+    names = [*(c.split()[0] for c in PAGES.split(", ")), "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
+                file = {"doc_id": path, "doc_name": path.rsplit("/", 1)[-1], "tables": None, "error": None}
                 try:
-                    pages = reader(bytes(content), name)
-                except ValueError:
-                    continue
-                rows += [{"doc_id": path, "doc_name": name, "tables": None, "table_count": 0, "table_row_count": 0} | p for p in pages]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")])
+                    pages = reader(bytes(content), file["doc_name"])
+                except ValueError as e:
+                    pages = [{"page_number": None, "text": None, "error": str(e)}]
+                rows += [file | {"table_count": None, "table_row_count": None} | p for p in pages]
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+
+    return files.select("path", "content").mapInPandas(run, f"{PAGES}, error string")
+
+
+def read_pages(files: DataFrame, reader: Callable[[bytes, str], list[dict]]) -> DataFrame:
+    """The pages of the files that can be read; ``unreadable`` has the others."""
+    return attempted_pages(files, reader).where("error IS NULL").drop("error")
+
 
-    return files.select("path", "content").mapInPandas(run, PAGES)
+def unreadable(files: DataFrame, reader: Callable[[bytes, str], list[dict]]) -> DataFrame:
+    """doc_id, doc_name and error of the files that can't be read."""
+    return attempted_pages(files, reader).where("error IS NOT NULL").select("doc_id", "doc_name", "error")
 
 
 def assemble_lines(words: list[tuple[float, float, float, float, str]]) -> str:

@@ -2,8 +2,13 @@
 
 A table is a set of immutable batches named in a manifest; a commit writes new files and then puts the new manifest in
 place under the next version number, so readers see a whole version or the one before. Deletes add a tombstone batch of
-document ids, applied as an anti-join when reading; ``compact`` rewrites what is left. Paths can be in any store that
-Spark writes; nothing touches the local file system directly.
+document ids: a row is there if it was added after its document's last tombstone. A relationship counts for both of its
+facts' documents, so one that was made before either document was deleted or replaced stays gone when the document
+comes back. ``compact`` rewrites what is left.
+
+A table is read in one scan of all its batches; a row's version is in its file's path. Paths can be in any store that
+Spark writes; nothing touches the local file system directly. Two writers at a time need a store whose rename fails
+when the target exists (HDFS); on others keep one writer a root.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import functions as F
 from factloom.schemas import DOCUMENTS, FACTS, RELATIONSHIPS
 
 SCHEMAS = {"documents": DOCUMENTS, "facts": FACTS, "relationships": RELATIONSHIPS, "tombstones": "doc_id string, upto long"}
+COLUMNS = {t: [c.split()[0] for c in s.split(", ")] for t, s in SCHEMAS.items()}
 
 
 class Store:
@@ -55,60 +61,83 @@ class Store:
             self._fs.delete(draft, False)
             raise RuntimeError(f"version {version} was committed by another writer")
 
-    def commit(self, **batches: DataFrame) -> int:
-        """Append batches to tables in one version."""
-        manifest, version = self.manifest(), self.version() + 1
+    def stage(self, **batches: DataFrame) -> dict[str, str]:
+        """Write batches of the next version without publishing them: the path of each table's batch."""
+        version, paths = self.version() + 1, {}
         for table, rows in batches.items():
-            path = f"{self.root}/{table}/{version:08d}-{uuid.uuid4().hex}"
-            cols = [c.split()[0] for c in SCHEMAS[table].split(", ")]
-            rows.select(*cols).write.parquet(path)
-            manifest[table].append([path, version])
+            paths[table] = f"{self.root}/{table}/{version:08d}-{uuid.uuid4().hex}"
+            rows.select(*COLUMNS[table]).write.parquet(paths[table])
+        return paths
+
+    def publish(self, *staged: dict[str, str]) -> int:
+        """Put staged batches of the next version in place, all at once."""
+        manifest, version = self.manifest(), self.version() + 1
+        for paths in staged:
+            for table, path in paths.items():
+                if not path.startswith(f"{self.root}/{table}/{version:08d}-"):
+                    raise RuntimeError(f"version {version - 1} was committed by another writer")
+                manifest[table].append([path, version])
         self._publish(manifest, version)
         return version
 
+    def commit(self, **batches: DataFrame) -> int:
+        """Append batches to tables in one version."""
+        return self.publish(self.stage(**batches))
+
+    def read(self, table: str, paths: list[str]) -> DataFrame:
+        """The rows of some batches of a table, in one scan, with ``__v``, the version that added them."""
+        rows = self.spark.read.schema(SCHEMAS[table])
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMAS[table] + ", __v long")
+        file = F.col("_metadata.file_path")
+        version = F.regexp_extract(file, r"/([0-9]+)-[0-9a-f]{32}/[^/]*$", 1).cast("long")
+        return rows.parquet(*paths).select(*COLUMNS[table], version.alias("__v"))
+
     # Tables -----------------------------------------------------------------------------------------------------------
 
-    def _batches(self, table: str) -> DataFrame:
-        """All rows of a table with ``__v``, the version that added them."""
-        out = self.spark.createDataFrame([], SCHEMAS[table] + ", __v long")
-        for path, v in self.manifest()[table]:
-            out = out.unionByName(self.spark.read.schema(SCHEMAS[table]).parquet(path).withColumn("__v", F.lit(v).cast("long")))
-        return out
+    # ``staged`` are batches of the next version: with them a table reads as it will after they are published.
 
-    def _dead(self) -> DataFrame:
-        return self._batches("tombstones").groupBy("doc_id").agg(F.max("upto").alias("__upto"))
+    def _batches(self, table: str, staged: list[dict[str, str]] | None = None) -> DataFrame:
+        paths = [path for path, _ in self.manifest()[table]]
+        return self.read(table, paths + [s[table] for s in staged or [] if table in s])
 
-    def documents(self) -> DataFrame:
-        rows = self._batches("documents").join(self._dead(), "doc_id", "left")
-        return rows.where("__upto IS NULL OR __v > __upto").drop("__v", "__upto")
+    def _alive(self, rows: DataFrame, doc_ids: list[str], staged: list[dict[str, str]] | None) -> DataFrame:
+        """Rows added after the last tombstone of each document that ``doc_ids`` names."""
+        dead = self._batches("tombstones", staged).groupBy("doc_id").agg(F.max("upto").alias("__upto"))
+        for c in doc_ids:
+            met = rows.join(dead.withColumnRenamed("doc_id", c), c, "left")
+            rows = met.where("__upto IS NULL OR __v > __upto").drop("__upto")
+        return rows
 
-    def facts(self) -> DataFrame:
-        rows = self._batches("facts").join(self._dead().withColumnRenamed("doc_id", "source_doc_id"), "source_doc_id", "left")
-        return rows.where("__upto IS NULL OR __v > __upto").select(*[c.split()[0] for c in FACTS.split(", ")])
+    def documents(self, staged: list[dict[str, str]] | None = None) -> DataFrame:
+        return self._alive(self._batches("documents", staged), ["doc_id"], staged).select(*COLUMNS["documents"])
 
-    def relationships(self) -> DataFrame:
-        """Relationships whose two facts are there: deleting a document takes its edges along."""
-        rows = self._batches("relationships").drop("__v")
-        ids = self.facts().select("id").distinct()
-        for side in ("fact_id_1", "fact_id_2"):
-            rows = rows.join(ids.withColumnRenamed("id", side), side, "left_semi")
-        return rows.select(*[c.split()[0] for c in RELATIONSHIPS.split(", ")])
+    def facts(self, staged: list[dict[str, str]] | None = None) -> DataFrame:
+        return self._alive(self._batches("facts", staged), ["source_doc_id"], staged).select(*COLUMNS["facts"])
+
+    def relationships(self, staged: list[dict[str, str]] | None = None) -> DataFrame:
+        """Relationships whose two facts are there and were there when it was made."""
+        rows = self._batches("relationships", staged)
+        ends = self.facts(staged).select("id", "source_doc_id").distinct()
+        for n in ("1", "2"):
+            rows = rows.join(ends.toDF(f"fact_id_{n}", f"__doc_{n}"), f"fact_id_{n}")
+        return self._alive(rows, ["__doc_1", "__doc_2"], staged).select(*COLUMNS["relationships"])
 
     # Changes ----------------------------------------------------------------------------------------------------------
 
+    def tombstones(self, ids: DataFrame) -> DataFrame:
+        """Tombstones, up to the present version, of the stored documents among ``ids`` (doc_id)."""
+        stored = self.documents().select("doc_id").join(ids, "doc_id", "left_semi").distinct()
+        return stored.withColumn("upto", F.lit(self.version()).cast("long"))
+
     def delete_document(self, doc_id: str) -> bool:
         """Remove a document, its facts and their relationships; False if there is none."""
-        if self.documents().where(F.col("doc_id") == doc_id).isEmpty():
+        found = self.documents().where(F.col("doc_id") == doc_id)
+        if found.isEmpty():
             return False
-        self.commit(tombstones=self.spark.createDataFrame([(doc_id, self.version())], SCHEMAS["tombstones"]))
+        self.commit(tombstones=self.tombstones(found.select("doc_id")))
         return True
 
-    def replace_document(self, doc_id: str, documents: DataFrame, facts: DataFrame) -> None:
-        """Put a document's rows in place of what is stored for it, in one version."""
-        manifest_version = self.version()
-        dead = self.spark.createDataFrame([(doc_id, manifest_version)], SCHEMAS["tombstones"])
-        self.commit(tombstones=dead, documents=documents, facts=facts)
-
     def reset(self) -> None:
         """Empty all tables."""
         self._publish({t: [] for t in SCHEMAS}, self.version() + 1)
