@@ -71,18 +71,26 @@ def with_claim(facts: DataFrame, name: str) -> DataFrame:
     return facts.withColumn(f"{name}_name", shown)
 
 
-def related_claims(new: DataFrame, existing: DataFrame, fuzzy: bool = True) -> DataFrame:
+def claim_keys(by_document: bool) -> dict[str, list[str]]:
+    return {s: CLAIM[s] + [f"{s}_source_doc_id"] * by_document for s in CLAIM}
+
+
+def related_claims(new: DataFrame, existing: DataFrame, fuzzy: bool = True, by_document: bool = False) -> DataFrame:
     """Pairs of distinct claims (subject and attribute) whose subjects and attributes are related, and ``is_exact``.
 
     Subjects and attributes are tested once for each different claim; facts only meet where both tests hold, so a
-    subject with very many facts does not pair them all.
+    subject with very many facts does not pair them all. ``by_document`` tells the claims of documents apart and leaves
+    out pairs inside one, so neither does a document that says very much of one subject.
     """
+    keys = claim_keys(by_document)
     subjects = related_subjects(new, existing).toDF("new_subject_normalized", "old_subject_normalized")
-    sides = [with_claim(side(d, s), s).select(*CLAIM[s]).distinct() for d, s in ((new, "new"), (existing, "old"))]
+    sides = [with_claim(side(d, s), s).select(*keys[s]).distinct() for d, s in ((new, "new"), (existing, "old"))]
     met = sides[0].join(subjects, "new_subject_normalized").join(sides[1], "old_subject_normalized")
+    if by_document:
+        met = met.where(F.col("new_source_doc_id") != F.col("old_source_doc_id"))
     exact = F.col("new_attribute_normalized") == F.col("old_attribute_normalized")
     related = exact | J.attributes_related(F.col("new_name"), F.col("old_name")) if fuzzy else exact
-    return met.where(related).select(*CLAIM["new"], *CLAIM["old"], exact.alias("is_exact"))
+    return met.where(related).select(*keys["new"], *keys["old"], exact.alias("is_exact"))
 
 
 def side(facts: DataFrame, name: str) -> DataFrame:
@@ -101,11 +109,10 @@ def candidates(
     fact_id_1 < fact_id_2; new_id is the new side (the later one where both are new). ``judged`` is a table of
     (fact_id_1, fact_id_2) in either order to leave out.
     """
-    claims = related_claims(new, existing, fuzzy)
-    met = with_claim(side(new, "new"), "new").join(claims, CLAIM["new"]).join(with_claim(side(existing, "old"), "old"), CLAIM["old"])
+    keys = claim_keys(cross_document_only)
+    claims = related_claims(new, existing, fuzzy, cross_document_only)
+    met = with_claim(side(new, "new"), "new").join(claims, keys["new"]).join(with_claim(side(existing, "old"), "old"), keys["old"])
     met = met.where(F.col("new_id") != F.col("old_id"))
-    if cross_document_only:
-        met = met.where(F.col("new_source_doc_id") != F.col("old_source_doc_id"))
     met = met.where(~J.siblings(F.col("new_extraction_group_id"), F.col("old_extraction_group_id")))
     keyed = met.select(
         *pair_key(F.col("new_id"), F.col("old_id")),

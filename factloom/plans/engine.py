@@ -115,13 +115,10 @@ class Engine:
         return reads.list_facts(self.store.facts(), doc_id, search, limit, limit_then_search)
 
     def fact(self, fact_id: str) -> DataFrame:
-        return self.store.facts().where(F.col("id") == fact_id)
+        return reads.fact(self.store.facts(), fact_id)
 
     def fact_detail(self, fact_id: str) -> DataFrame:
-        """A row for each related fact: the relationship, ``target_fact``, and the fact itself as ``fact``."""
-        own = self.fact(fact_id).select(F.col("id").alias("__id"), F.struct("*").alias("fact"))
-        met = reads.neighbours(self.store.relationships(), self.store.facts(), fact_id, "inner")
-        return met.withColumn("__id", F.lit(fact_id)).join(own, "__id").drop("__id")
+        return reads.fact_detail(self.store.relationships(), self.store.facts(), fact_id)
 
     def fact_related(self, fact_id: str) -> DataFrame:
         return reads.neighbours(self.store.relationships(), self.store.facts(), fact_id, "left")

@@ -104,6 +104,17 @@ def neighbours(relationships: DataFrame, facts: DataFrame, fact_id: str, how: st
     return mine.withColumn("other_id", other).join(target, "other_id", how)
 
 
+def fact(facts: DataFrame, fact_id: str) -> DataFrame:
+    return facts.where(F.col("id") == fact_id)
+
+
+def fact_detail(relationships: DataFrame, facts: DataFrame, fact_id: str) -> DataFrame:
+    """A row for each related fact: the relationship, ``target_fact``, and the fact itself as ``fact``."""
+    own = fact(facts, fact_id).select(F.col("id").alias("__id"), F.struct("*").alias("fact"))
+    met = neighbours(relationships, facts, fact_id, "inner")
+    return met.withColumn("__id", F.lit(fact_id)).join(own, "__id").drop("__id")
+
+
 def documents_with_counts(documents: DataFrame, facts: DataFrame) -> DataFrame:
     counts = facts.groupBy(F.col("source_doc_id").alias("doc_id")).agg(F.count("*").alias("fact_count"))
     return documents.join(counts, "doc_id", "left").withColumn("fact_count", F.coalesce("fact_count", F.lit(0).cast("long")))

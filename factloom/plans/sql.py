@@ -1,12 +1,51 @@
-"""DuckDB SQL with the meaning of the operators, for the registered queries. Plain and quadratic where that is simplest."""
+"""DuckDB SQL with the meaning of the operators, for the registered queries.
+
+Every list, weight and pattern is written out here again, so that a wrong one in the engine does not agree with itself.
+"""
 
 from __future__ import annotations
 
-from factloom.functions import density as D
-from factloom.functions import judging as J
-from factloom.functions import normalize as N
 from factloom.plans import views
 
+# Fixed values. --------------------------------------------------------------------------------------------------------
+UNSPECIFIED = "unspecified"
+CORPORATE = "limited|ltd|pvt_ltd|private_limited|inc|incorporated|corp|corporation|llc"
+QUALIFIERS = "rate|ratio|total|value|figure|level|estimate"
+SYNONYMS = {
+    "pat": ("profit_after_tax", "profit_after_tax_loss", "net_profit", "net_loss", "restated_profit", "restated_loss",
+            "restated_loss_for_the_period", "restated_loss_for_the_year", "restated_profit_loss"),
+    "revenue": ("revenue_from_operations", "total_revenue", "total_income"),
+    "gdp_growth": ("real_gdp_growth", "gdp_growth", "growth_in_real_gdp"),
+    "cpi_inflation": ("headline_inflation", "cpi_inflation", "retail_inflation"),
+    "fiscal_deficit": ("gross_fiscal_deficit",),
+}
+QUARTER = r"(q[1-4])\s*(?:of\s*)?(?:fy\s*)?([0-9]{2,4})"
+YEAR_RANGE = r"(?:fy\s*)?([0-9]{4})[-/]([0-9]{2,4})"
+FISCAL_YEAR = r"fy\s*([0-9]{2,4})"
+CALENDAR_YEAR = r"\b(19[0-9][0-9]|20[0-9][0-9])\b"
+FRONT_MATTER = ("table of contents", "contents\t", "contents\n", "abbreviations", "list of tables", "list of boxes", "preface", "acknowledgement")
+DOT_LEADERS = (("...", 8), (". . .", 4))
+NUMBER_WORD = r"\b[0-9]+(?:\.[0-9]+)?%?\b"
+METRIC_TOKENS = r"(?i)(%|₹|\$|€|crore|million|billion|trillion|ratio|bps|growth|deficit|revenue|profit|loss|gdp|inflation|pat|ebitda|cpi)"
+CORE_METRICS = r"(?i)\b(revenue|profit|loss|pat|pbt|ebitda|gdp|gva|cpi|wpi|inflation|growth|deficit|net worth|assets|liabilities|borrowings)\b"
+STOP_WORDS = (
+    "of in the and to for a an on as by at per from with average total net gross daily annual monthly quarterly "
+    "number numbers share shares period year quarter value figure level rate ratio"
+).split()
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
+MILLIONS, CRORES = ("million", "mn"), ("crore", "cr")
+RELATIONS = (("corr", "corroborates"), ("cont", "contradicts"), ("rec", "reconciled"))
+FACTORS = (
+    ("projection_vs_actual", ("proj", "forecast", "target", "actual")),
+    ("reporting_basis", ("restate", "basis", "consol", "standalone")),
+    ("precision_or_rounding", ("round", "precis", "decimal")),
+    ("temporal_scope", ("temp", "time", "period", "year", "quarter")),
+    ("entity_scope", ("entity", "scope", "subsidiary")),
+    ("unit_difference", ("unit", "curr", "scale")),
+    ("definition_difference", ("def", "gaap", "adjusted", "standard")),
+)
+# ----------------------------------------------------------------------------------------------------------------------
+
 
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -19,9 +58,8 @@ def trim(x: str) -> str:
 def snake(x: str) -> str:
     kept = rf"regexp_replace(coalesce({x}, ''), '[^\pL\pN_\s\pZ-]', '', 'g')"
     joined = rf"regexp_replace(regexp_replace({kept}, '[\s\pZ-]+', '_', 'g'), '_+', '_', 'g')"
-    suffixes = "|".join(s.removeprefix("_") for s in N.CORPORATE_SUFFIXES)
-    bare = rf"regexp_replace(lower(trim({joined}, '_')), '^(.+)_(?:{suffixes})$', '\1')"
-    return f"coalesce(nullif(rtrim({bare}, '_'), ''), '{N.UNSPECIFIED}')"
+    bare = rf"regexp_replace(lower(trim({joined}, '_')), '^(.+)_(?:{CORPORATE})$', '\1')"
+    return f"coalesce(nullif(rtrim({bare}, '_'), ''), '{UNSPECIFIED}')"
 
 
 def scope(x: str) -> str:
@@ -34,19 +72,18 @@ def scope(x: str) -> str:
         n = f"TRY_CAST({part(pattern, group)} AS INT)"
         return f"CAST(CASE WHEN {n} < 100 THEN {n} + {base} ELSE {n} END AS VARCHAR)"
 
-    century = f"TRY_CAST({part(N.YEAR_RANGE, 1)} AS INT) // 100 * 100"
-    return f"""CASE WHEN {x} IS NULL OR {x} = '' THEN '{N.UNSPECIFIED}'
-      WHEN regexp_matches({s}, {q(N.QUARTER)}) THEN {part(N.QUARTER, 1)} || '_fy' || {year(N.QUARTER, 2)}
-      WHEN regexp_matches({s}, {q(N.YEAR_RANGE)}) THEN 'fy' || {year(N.YEAR_RANGE, 2, century)}
-      WHEN regexp_matches({s}, {q(N.FISCAL_YEAR)}) THEN 'fy' || {year(N.FISCAL_YEAR, 1)}
-      WHEN regexp_matches({s}, {q(N.CALENDAR_YEAR)}) THEN 'cy' || {part(N.CALENDAR_YEAR, 1)}
+    century = f"TRY_CAST({part(YEAR_RANGE, 1)} AS INT) // 100 * 100"
+    return f"""CASE WHEN {x} IS NULL OR {x} = '' THEN '{UNSPECIFIED}'
+      WHEN regexp_matches({s}, {q(QUARTER)}) THEN {part(QUARTER, 1)} || '_fy' || {year(QUARTER, 2)}
+      WHEN regexp_matches({s}, {q(YEAR_RANGE)}) THEN 'fy' || {year(YEAR_RANGE, 2, century)}
+      WHEN regexp_matches({s}, {q(FISCAL_YEAR)}) THEN 'fy' || {year(FISCAL_YEAR, 1)}
+      WHEN regexp_matches({s}, {q(CALENDAR_YEAR)}) THEN 'cy' || {part(CALENDAR_YEAR, 1)}
       ELSE {snake(s)} END"""
 
 
 def attribute(x: str) -> str:
-    suffixes = "|".join(s.removeprefix("_") for s in N.QUALIFIER_SUFFIXES)
-    bare = rf"regexp_replace({snake(x)}, '^(.{{4,}})_(?:{suffixes})$', '\1')"
-    cases = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in N.ATTRIBUTE_SYNONYMS.items())
+    bare = rf"regexp_replace({snake(x)}, '^(.{{4,}})_(?:{QUALIFIERS})$', '\1')"
+    cases = " ".join(f"WHEN {q(a)} THEN {q(b)}" for b, names in SYNONYMS.items() for a in names)
     return f"CASE {bare} {cases} ELSE {bare} END"
 
 
@@ -64,29 +101,29 @@ def _count(text: str, pattern: str) -> str:
 
 def _scored() -> str:
     t = trim("text")
-    head = f"lower(array_to_string((string_split({t}, chr(10)))[1:{D.HEADER_LINES}], chr(10)))"
-    phrases = " OR ".join(f"contains({head}, {q(p)})" for p in D.FRONT_MATTER_PHRASES)
+    head = f"lower(array_to_string((string_split({t}, chr(10)))[1:6], chr(10)))"
+    phrases = " OR ".join(f"contains({head}, {q(p)})" for p in FRONT_MATTER)
     dots = " OR ".join(
-        f"(length(text) - length(replace(text, {q(d)}, ''))) / {len(d)} > {n}" for d, n in ((D.DOTS, D.MANY_DOTS), (D.SPACED_DOTS, D.MANY_SPACED_DOTS))
+        f"(length(text) - length(replace(text, {q(d)}, ''))) / {len(d)} > {n}" for d, n in DOT_LEADERS
     )
-    has_text = f"length({t}) >= {D.LEAST_CHARS}"
+    has_text = f"length({t}) >= 50"
     tokens = r"regexp_extract_all(text, '[^\s\pZ]+')"
     lines = f"string_split({t}, chr(10))"
-    score = f"""len(list_filter({tokens}, lambda x: regexp_matches(x, '[0-9]'))) / len({tokens}) * {D.DIGIT_WEIGHT}
-      + len(list_filter({lines}, lambda x: {_count('x', D.NUMBER)} >= 2)) / len({lines}) * {D.TABLE_LINE_WEIGHT}
-      + {_count('text', D.METRIC_PATTERN)} / len({tokens}) * {D.METRIC_WEIGHT}
-      + least({D.MOST_TABLE_POINTS}, table_count * CAST({D.TABLE_POINTS} AS DOUBLE)) + least({D.MOST_ROW_POINTS}, table_row_count * CAST({D.ROW_POINTS} AS DOUBLE))
-      + least({D.MOST_CORE_POINTS}, {_count('text', D.CORE_PATTERN)} * CAST({D.CORE_POINTS} AS DOUBLE))"""
+    score = f"""len(list_filter({tokens}, lambda x: regexp_matches(x, '[0-9]'))) / len({tokens}) * 35.0
+      + len(list_filter({lines}, lambda x: {_count('x', NUMBER_WORD)} >= 2)) / len({lines}) * 30.0
+      + {_count('text', METRIC_TOKENS)} / len({tokens}) * 20.0
+      + least(15.0, table_count * CAST(5.0 AS DOUBLE)) + least(10.0, table_row_count * CAST(0.5 AS DOUBLE))
+      + least(25.0, {_count('text', CORE_METRICS)} * CAST(2.5 AS DOUBLE))"""
     return f"""
 SELECT doc_id, page_number, text, is_front_matter,
-       CAST(CASE WHEN {has_text} THEN floor(CASE WHEN is_front_matter THEN s * CAST({D.FRONT_MATTER_FACTOR} AS DOUBLE) ELSE s END * 100 + 0.5) / 100 ELSE 0.0 END AS DOUBLE) AS density_score
+       CAST(CASE WHEN {has_text} THEN floor(CASE WHEN is_front_matter THEN s * CAST(0.05 AS DOUBLE) ELSE s END * 100 + 0.5) / 100 ELSE 0.0 END AS DOUBLE) AS density_score
 FROM (SELECT *, {has_text} AND ({phrases} OR {dots}) AS is_front_matter, CAST({score} AS DOUBLE) AS s
       FROM ({views.PAGES_SQL}) AS raw_pages WHERE {trim("coalesce(text, '')")} <> '') AS scored
 """
 
 
 SCORED = _scored()
-_HAS_TEXT = f"length({trim('text')}) >= {D.LEAST_CHARS}"
+_HAS_TEXT = f"length({trim('text')}) >= 50"
 
 
 def clean(pages: str) -> str:
@@ -139,9 +176,10 @@ FROM (SELECT *, unnest(range(1, len(os) + 1)) AS i FROM (
 """
 
 _SHORT = r"length({0}) <= 60 AND len(regexp_extract_all({0}, '[^\s\pZ]+')) <= 8"
-VALID_PARTS = f"""
-SELECT doc_id, CAST(length(attribute) AS BIGINT) AS attribute_chars
-FROM (SELECT doc_id, {trim("coalesce(source, '')")} AS subject, {trim("coalesce(left(text, 80), '')")} AS attribute, {trim("coalesce(lang, '')")} AS value FROM documents) AS d
+VALID_LINES = f"""
+SELECT doc_id, CAST(line_no - 1 AS INT) AS line_no, CAST(length(attribute) AS BIGINT) AS attribute_chars
+FROM (SELECT doc_id, line_no, {trim("coalesce(source, '')")} AS subject, {trim("line")} AS attribute, {trim("coalesce(lang, '')")} AS value
+      FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL) AS x) AS d
 WHERE subject <> '' AND attribute <> '' AND value <> '' AND {_SHORT.format('value')} AND {_SHORT.format('attribute')}
 """
 
@@ -156,16 +194,16 @@ FROM ({REPLY_FACTS}) AS r
 
 
 def words(x: str) -> str:
-    stop = ", ".join(q(w) for w in J.STOP_WORDS)
+    stop = ", ".join(q(w) for w in STOP_WORDS)
     return f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda w: NOT list_contains([{stop}], w))"
 
 
 def _related_words(a: str, b: str) -> str:
-    return f"(len(list_filter(list_intersect({a}, {b}), lambda w: length(w) >= {J.LONG_WORD})) > 0 OR len(list_intersect({a}, {b})) >= 2)"
+    return f"(len(list_filter(list_intersect({a}, {b}), lambda w: length(w) >= 4)) > 0 OR len(list_intersect({a}, {b})) >= 2)"
 
 
 def _related_subjects(a: str, b: str) -> str:
-    n = J.LONG_WORD
+    n = 4
     parts = f"len(list_filter(list_intersect(string_split({a}, '_'), string_split({b}, '_')), lambda w: length(w) >= {n})) > 0"
     return f"({a} <> '' AND {b} <> '' AND ({a} = {b} OR (length({a}) >= {n} AND length({b}) >= {n} AND (contains({a}, {b}) OR contains({b}, {a}) OR {parts}))))"
 
@@ -177,18 +215,21 @@ FROM (SELECT DISTINCT attribute_normalized AS a FROM ({FACTS}) AS f) AS x, (SELE
 _NATIONS = f"(SELECT DISTINCT {snake('n_name')} AS s FROM nation)"
 SUBJECTS_RELATED = f"SELECT a.s AS new_subject, b.s AS old_subject FROM {_NATIONS} AS a, {_NATIONS} AS b WHERE {_related_subjects('a.s', 'b.s')}"
 
-_WORDED = f"SELECT *, {words('attribute_normalized')} AS ws FROM ({FACTS}) AS f"
 CANDIDATES = f"""
-WITH known AS MATERIALIZED ({_WORDED})
+WITH known AS MATERIALIZED ({FACTS}),
+subjects AS (SELECT DISTINCT subject_normalized AS s FROM known),
+subject_pairs AS MATERIALIZED (SELECT a.s AS s1, b.s AS s2 FROM subjects AS a, subjects AS b WHERE {_related_subjects('a.s', 'b.s')}),
+attributes AS (SELECT a, {words('a')} AS ws FROM (SELECT DISTINCT attribute_normalized AS a FROM known) AS d),
+attribute_pairs AS MATERIALIZED (SELECT a.a AS a1, b.a AS a2 FROM attributes AS a, attributes AS b WHERE a.a = b.a OR {_related_words('a.ws', 'b.ws')})
 SELECT least(n.id, o.id) AS fact_id_1, greatest(n.id, o.id) AS fact_id_2,
        CASE WHEN n.attribute_normalized = o.attribute_normalized THEN 'structural' ELSE 'fuzzy' END AS match_source,
        CASE WHEN n.claim_fingerprint = o.claim_fingerprint THEN 'exact_scope' ELSE 'different_scope' END AS match_hint,
        n.source_doc_id = o.source_doc_id AS is_intra_document, n.source_doc_id AS new_source_doc_id,
        n.id AS new_id, o.id AS old_id, n.created_seq AS new_seq, o.created_seq AS old_seq
-FROM known AS n JOIN known AS o ON n.created_seq > o.created_seq AND n.source_doc_id <> o.source_doc_id
-WHERE {_related_subjects('n.subject_normalized', 'o.subject_normalized')}
+FROM known AS n JOIN subject_pairs AS p ON n.subject_normalized = p.s1 JOIN attribute_pairs AS t ON n.attribute_normalized = t.a1
+     JOIN known AS o ON o.subject_normalized = p.s2 AND o.attribute_normalized = t.a2
+WHERE n.created_seq > o.created_seq AND n.source_doc_id <> o.source_doc_id
   AND NOT coalesce(n.extraction_group_id <> '' AND n.extraction_group_id = o.extraction_group_id, false)
-  AND (n.attribute_normalized = o.attribute_normalized OR {_related_words('n.ws', 'o.ws')})
 """
 
 
@@ -211,18 +252,18 @@ def _any(x: str, parts: tuple[str, ...]) -> str:
 
 
 def _close(x: str, y: str, base: str, share: float) -> str:
-    return f"(abs({x} - {y}) <= {J.ABSOLUTE_TOLERANCE} OR ({base} > 0 AND abs({x} - {y}) / {base} < {share}))"
+    return f"(abs({x} - {y}) <= 1.0 OR ({base} > 0 AND abs({x} - {y}) / {base} < {share}))"
 
 
 JUDGED = f"""
 SELECT *, coalesce(fp_1 <> '' AND fp_1 = fp_2 AND CASE WHEN v1 = v2 THEN units WHEN a IS NULL OR b IS NULL THEN false
-         WHEN {_close('a', 'b', 'abs(a)', J.RELATIVE_TOLERANCE)} THEN units
-         WHEN {_any('u1', J.MILLION_STEMS)} AND {_any('u2', J.CRORE_STEMS)} THEN {_close('(a / 10.0)', 'b', 'b', J.CONVERTED_TOLERANCE)}
-         WHEN {_any('u1', J.CRORE_STEMS)} AND {_any('u2', J.MILLION_STEMS)} THEN {_close('a', '(b / 10.0)', '(b / 10.0)', J.CONVERTED_TOLERANCE)}
+         WHEN {_close('a', 'b', 'abs(a)', 0.005)} THEN units
+         WHEN {_any('u1', MILLIONS)} AND {_any('u2', CRORES)} THEN {_close('(a / 10.0)', 'b', 'b', 0.01)}
+         WHEN {_any('u1', CRORES)} AND {_any('u2', MILLIONS)} THEN {_close('a', '(b / 10.0)', '(b / 10.0)', 0.01)}
          ELSE false END, false) AS corroborated,
        floor(least(c1, c2) * 100 + 0.5) / 100 AS agreement_strength
 FROM (SELECT *, u1 = '' OR u2 = '' OR u1 = u2 OR (contains(u1, 'million') AND contains(u2, 'million')) OR (contains(u1, 'crore') AND contains(u2, 'crore')) AS units,
-             CASE WHEN regexp_matches(v1, {q(J.NUMBER)}) THEN TRY_CAST(v1 AS DOUBLE) END AS a, CASE WHEN regexp_matches(v2, {q(J.NUMBER)}) THEN TRY_CAST(v2 AS DOUBLE) END AS b
+             CASE WHEN regexp_matches(v1, {q(NUMBER)}) THEN TRY_CAST(v1 AS DOUBLE) END AS a, CASE WHEN regexp_matches(v2, {q(NUMBER)}) THEN TRY_CAST(v2 AS DOUBLE) END AS b
       FROM (SELECT c.fact_id_1, c.fact_id_2, c.match_source, c.match_hint, f.source_doc_id AS doc_1, g.source_doc_id AS doc_2,
                    f.claim_fingerprint AS fp_1, g.claim_fingerprint AS fp_2, f.value AS raw_1, g.value AS raw_2, f.confidence AS c1, g.confidence AS c2,
                    replace(lower(trim(f.value)), ',', '') AS v1, replace(lower(trim(g.value)), ',', '') AS v2,
@@ -233,13 +274,13 @@ FROM (SELECT *, u1 = '' OR u2 = '' OR u1 = u2 OR (contains(u1, 'million') AND co
 
 def relation(x: str) -> str:
     t = f"lower(trim(coalesce({x}, '')))"
-    cases = " ".join(f"WHEN contains({t}, {q(a)}) THEN {q(b)}" for a, b in J.RELATION_STEMS.items())
+    cases = " ".join(f"WHEN contains({t}, {q(a)}) THEN {q(b)}" for a, b in RELATIONS)
     return f"CASE {cases} ELSE 'corroborates' END"
 
 
 def factor(x: str, kind: str) -> str:
     f = f"lower(trim(coalesce({x}, '')))"
-    cases = " ".join(f"WHEN {_any(f, stems)} THEN {q(name)}" for name, stems in J.FACTOR_STEMS.items())
+    cases = " ".join(f"WHEN {_any(f, stems)} THEN {q(name)}" for name, stems in FACTORS)
     return f"CASE WHEN {kind} <> 'reconciled' THEN 'none' {cases} ELSE 'none' END"
 
 
@@ -281,3 +322,37 @@ FROM ({FACTS}) AS f
 """
 
 DOCS = f"SELECT DISTINCT source_doc_id AS doc_id FROM ({FACTS}) AS f UNION ALL SELECT 'empty_ledger'"
+
+JUDGE_JSON = f"""
+SELECT id, {relation('said')} AS relation_type, {factor('why', relation('said'))} AS reconciling_factor, explanation
+FROM (SELECT id, CASE form WHEN 4 THEN NULL ELSE raw_type END AS said, CASE WHEN form = 3 THEN coalesce(nullif(raw_factor, ''), 'none') ELSE raw_factor END AS why,
+             CASE form WHEN 3 THEN 'cut off here' ELSE 'because of ' || id END AS explanation
+      FROM ({views.JUDGE_JSON_SQL}) AS j WHERE raw_type IS NOT NULL AND form <> 4) AS k
+"""
+
+TABLE_COUNTS = f"""
+SELECT doc_id, CAST(count(*) AS BIGINT) AS pages, CAST(count(*) FILTER (table_count > 0) AS BIGINT) AS pages_with_tables,
+       CAST(sum(table_count) AS BIGINT) AS tables, CAST(sum(table_row_count) AS BIGINT) AS table_rows
+FROM ({views.PAGES_SQL}) AS p WHERE {trim("coalesce(text, '')")} <> '' GROUP BY doc_id
+"""
+
+
+def deleted(doc: str) -> str:
+    """Relationships after a document's facts are gone."""
+    return f"SELECT fact_id_1, fact_id_2 FROM ({RELATIONSHIPS}) AS r WHERE fact_id_1 NOT LIKE '{doc}|%' AND fact_id_2 NOT LIKE '{doc}|%'"
+
+
+def replaced(doc: str) -> str:
+    """Facts and relationships by document after one was deleted and its facts were stored again."""
+    left = deleted(doc)
+    return f"""
+SELECT f.source_doc_id AS doc_id, CAST(count(DISTINCT f.id) AS BIGINT) AS facts, CAST(count(DISTINCT e.pair) AS BIGINT) AS relationships
+FROM ({FACTS}) AS f LEFT JOIN (SELECT unnest([fact_id_1, fact_id_2]) AS id, fact_id_1 || fact_id_2 AS pair FROM ({left}) AS d) AS e ON f.id = e.id
+GROUP BY f.source_doc_id
+"""
+
+
+LAYOUT = """
+SELECT p_partkey, trim(array_to_string(list_filter([array_to_string(list_filter(ws, lambda w, i: (i - 1) % 3 = k), ' ') FOR k IN range(3)], lambda x: x <> ''), chr(10))) AS text
+FROM (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part) AS p
+"""

@@ -1,14 +1,16 @@
 """Views that give the engine's relations over the driver tables, as SQL that Spark and DuckDB read alike.
 
 - pages: ``documents`` in books of twenty rows by id, a row a page;
-- facts: yearly and quarterly sales by nation as five ledgers that state the same measures in different words, units
-  and period spellings;
+- facts: yearly and quarterly sales by groups of customers as five ledgers that state the same measures in different
+  words, units and period spellings. There are as many subjects as groups, so facts grow with the tables; one ledger
+  states all of its facts of one subject, which so has an eighth of them;
 - replies: extraction and judge replies made of facts, some fenced or cut off.
 """
 
 from __future__ import annotations
 
 PAGES_PER_BOOK = 20
+CUSTOMERS_PER_GROUP = 25
 
 PAGES_SQL = f"""
 SELECT concat('book', CAST(doc_id - doc_id % {PAGES_PER_BOOK} AS STRING)) AS doc_id, CAST(doc_id % {PAGES_PER_BOOK} + 1 AS INT) AS page_number,
@@ -21,21 +23,25 @@ _SPARK_ROWS = "explode(CASE WHEN q = 0 THEN array(1, 2, 4, 5) ELSE array(3) END)
 _DUCKDB_ROWS = "unnest(CASE WHEN q = 0 THEN [1, 2, 4, 5] ELSE [3] END)"
 
 
+#: A name of ten letters for a group's number: no two have four letters in a row in common but by chance.
+_NAME = "translate(left(md5(CAST(k AS STRING)), 10), '0123456789', 'ghijklmnop')"
+
+
 def _facts(rows: str) -> str:
     return f"""
 WITH sales AS (
   SELECT k, y, coalesce(q, 0) AS q, CAST(floor(CAST(sum(total) AS DOUBLE) / 1000.0) AS BIGINT) AS v
-  FROM (SELECT n_nationkey AS k, year(o_orderdate) + 20 AS y, quarter(o_orderdate) AS q, CAST(o_totalprice AS DECIMAL(18, 2)) AS total
-        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) AS o
+  FROM (SELECT CAST(floor(c_custkey / {CUSTOMERS_PER_GROUP}) AS BIGINT) AS k, year(o_orderdate) + 20 AS y, quarter(o_orderdate) AS q, CAST(o_totalprice AS DECIMAL(18, 2)) AS total
+        FROM orders JOIN customer ON o_custkey = c_custkey) AS o
   GROUP BY GROUPING SETS ((k, y), (k, y, q))),
 named AS (
-  SELECT k, y, q, v, doc_no, repeat(chr(CAST(97 + k AS INT)), 6) AS name, CAST(y AS STRING) AS yyyy, CAST(y - 2000 AS STRING) AS yy
+  SELECT k, y, q, v, doc_no, {_NAME} AS name, CAST(y AS STRING) AS yyyy, CAST(y - 2000 AS STRING) AS yy
   FROM (SELECT k, y, q, v, {rows} AS doc_no FROM sales) AS s),
 raw AS (
-  SELECT k, y, q, doc_no,
+  SELECT k, y, q, doc_no, name,
          CASE doc_no WHEN 1 THEN 'ledger_a' WHEN 2 THEN 'ledger_b' WHEN 3 THEN 'ledger_c' WHEN 4 THEN 'ledger_d' ELSE 'ledger_e' END AS doc,
          CASE doc_no WHEN 2 THEN 'Revenue from operations' WHEN 3 THEN 'Revenue' WHEN 5 THEN 'Headline inflation' ELSE 'Total revenue' END AS attribute,
-         CASE doc_no WHEN 2 THEN concat(name, ' Limited') ELSE name END AS subject,
+         CASE doc_no WHEN 2 THEN concat(name, ' Limited') WHEN 5 THEN 'All regions' ELSE name END AS subject,
          CASE doc_no WHEN 2 THEN CAST(CAST(floor(v / 10.0 + 0.5) AS BIGINT) AS STRING)
                      WHEN 4 THEN CAST(CASE WHEN k % 3 = 0 THEN CAST(floor(v * 1.1) AS BIGINT) ELSE v END AS STRING)
                      WHEN 5 THEN concat(CAST(v % 90 AS STRING), '.5%') ELSE CAST(v AS STRING) END AS value,
@@ -43,10 +49,10 @@ raw AS (
          CASE doc_no WHEN 1 THEN concat('FY', yyyy) WHEN 2 THEN concat('FY', yy) WHEN 3 THEN concat('Q', CAST(q AS STRING), ' FY', yy)
                      WHEN 4 THEN concat(CAST(y - 1 AS STRING), '-', yy) ELSE yyyy END AS scope
   FROM named)
-SELECT concat(doc, '|', subject, '|', scope) AS id, doc AS source_doc_id, subject, attribute, value, unit, scope AS temporal_scope,
+SELECT concat(doc, '|', name, '|', scope) AS id, doc AS source_doc_id, subject, attribute, value, unit, scope AS temporal_scope,
        concat_ws('_', doc, CAST(CAST(k % 7 + 1 AS INT) AS STRING), CASE WHEN q = 0 THEN NULL ELSE concat('q', CAST(q AS STRING)) END) AS extraction_group_id,
        CAST(k % 7 + 1 AS INT) AS page, CAST(0.5 + (k % 5) / 10.0 AS DOUBLE) AS confidence,
-       CAST(doc_no * 1000000 + (y - 2000) * 1000 + k * 10 + q AS BIGINT) AS created_seq,
+       CAST(doc_no AS BIGINT) * 1000000000 + (y - 2000) * 10000000 + k * 10 + q AS created_seq,
        concat(subject, ' reported ', attribute, ' of ', value) AS evidence_quote
 FROM raw
 """
@@ -78,3 +84,18 @@ FROM ({facts}) AS f
 """
 JUDGE_REPLIES_SQL = _JUDGE_REPLIES.format(facts=FACTS_SQL)
 SPARK_JUDGE_REPLIES_SQL = _JUDGE_REPLIES.format(facts=SPARK_FACTS_SQL)
+
+#: What a judge said and the form of its reply.
+JUDGE_JSON_SQL = f"SELECT id, raw_type, raw_factor, CAST(length(id) % 5 AS INT) AS form FROM ({JUDGE_REPLIES_SQL}) AS r"
+#: The reply: strict JSON, fenced, with text around it, cut off after an open quote, without any JSON.
+_SAID = """concat('"relation_type": "', raw_type, '", "reconciling_factor": "', coalesce(raw_factor, ''), '", "explanation": "')"""
+JUDGE_JSON_REPLY = f"""
+CASE form WHEN 0 THEN concat('{{', {_SAID}, 'because of ', id, '"}}')
+          WHEN 1 THEN concat('Sure.
+```json
+{{', {_SAID}, 'because of ', id, '"}}
+```')
+          WHEN 2 THEN concat('I say {{', {_SAID}, 'because of ', id, '"}} and no more')
+          WHEN 3 THEN concat('{{', {_SAID}, 'cut off here')
+          ELSE 'I can not tell' END
+"""

@@ -12,6 +12,8 @@ from factloom.functions import normalize as N
 from factloom.operators import facts as facts_op
 from factloom.operators import matching, pages, reconcile
 from factloom.plans import reads, sql, views
+from factloom.sources import files
+from factloom.sources.store import Store, scratch_root
 
 LEDGER, OTHER = "ledger_a", "ledger_d"
 
@@ -22,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A view's SQL over the driver tables; every table is a parameter, so nothing is registered in the session."""
-    names = {t: _table(spark, sf_dir, t) for t in ("documents", "orders", "customer", "nation") if f" {t} " in f" {text} ".replace("\n", " ")}
+    names = {t: _table(spark, sf_dir, t) for t in ("documents", "orders", "customer") if f" {t} " in f" {text} ".replace("\n", " ")}
     marked = text
     for t in names:
         marked = marked.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ").replace(f"FROM {t}\n", f"FROM {{{t}}}\n")
@@ -69,14 +71,18 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.judge_and_collect(all_pairs(spark, sf_dir), rows, RuleJudge(), at)
 
 
-def corroborations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact-attribute pairs of two ledgers that the deterministic rule settles."""
-    rows = facts(spark, sf_dir).where(F.col("source_doc_id").isin(LEDGER, OTHER))
+def corroborations(rows: DataFrame) -> DataFrame:
+    """Exact-attribute pairs that the deterministic rule settles."""
     pairs = matching.candidates(rows, rows, fuzzy=False)
     made = reconcile.settle(reconcile.split_by_rule(pairs, rows), F.current_timestamp())
     return made.select("fact_id_1", "fact_id_2", "match_source", "agreement_strength")
 
 
+def ledger_corroborations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which facts of two ledgers corroborate each other."""
+    return corroborations(facts(spark, sf_dir).where(F.col("source_doc_id").isin(LEDGER, OTHER)))
+
+
 PAIR = ["fact_id_1", "fact_id_2", "match_source", "match_hint"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,6 +172,23 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.prompt_text(book_pages(spark, sf_dir)).select("doc_id", "page_number", F.md5(F.col("prompt_text").cast("binary")).alias("prompt_md5"))
 
 
+@query("table_counts", sql.TABLE_COUNTS)
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.table_counts(book_pages(spark, sf_dir))
+
+
+@query("layout_text", sql.LAYOUT)
+def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of names as boxes of three lines, with heights that differ a little inside a line."""
+    words = _table(spark, sf_dir, "part").select(F.col("p_partkey"), F.posexplode(F.split("p_name", " ")).alias("word_no", "word"))
+    top = F.col("word_no") % 3 * 20.0 + F.col("word_no") % 2
+    boxes = words.select(
+        F.col("p_partkey").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), "word_no",
+        (F.col("word_no") * 10.0).alias("x0"), top.alias("y0"), (F.col("word_no") * 10.0 + 9).alias("x1"), (top + 8).alias("y1"), "word",
+    )
+    return files.layout_text(boxes).select(F.col("doc_id").cast("long").alias("p_partkey"), "text")
+
+
 @query("telemetry_pages", sql.TELEMETRY)
 def telemetry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.page_telemetry(scored_pages(spark, sf_dir), pages.DEFAULT_GATE)
@@ -192,12 +215,12 @@ def json_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded_replies(spark, sf_dir).select("id", "fact_no", "subject", "attribute", "value", "confidence")
 
 
-@query("facts_validate", sql.VALID_PARTS)
+@query("facts_validate", sql.VALID_LINES)
 def facts_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("source").alias("subject"), F.left("text", F.lit(80)).alias("attribute"), F.col("lang").alias("value")
-    )
-    return facts_op.valid(rows).select("doc_id", F.length("attribute").cast("long").alias("attribute_chars"))
+    """Every line of every text as an attribute."""
+    lines = F.posexplode(F.split("text", "\n")).alias("line_no", "attribute")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("subject"), F.col("lang").alias("value"), lines)
+    return facts_op.valid(rows).select("doc_id", "line_no", F.length("attribute").cast("long").alias("attribute_chars"))
 
 
 @query("fact_defaults", sql.DEFAULTS)
@@ -262,9 +285,9 @@ def anti_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Judging --------------------------------------------------------------------------------------------------------------
 
 
-@query("corroborate_exact", f"SELECT fact_id_1, fact_id_2, match_source, agreement_strength FROM ({sql.JUDGED}) j WHERE corroborated AND match_source = 'structural' AND doc_1 IN ('{LEDGER}', '{OTHER}') AND doc_2 IN ('{LEDGER}', '{OTHER}')")
+@query("corroborate_exact", f"SELECT fact_id_1, fact_id_2, match_source, agreement_strength FROM ({sql.JUDGED}) j WHERE corroborated AND match_source = 'structural'")
 def corroborate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corroborations(spark, sf_dir)
+    return corroborations(facts(spark, sf_dir))
 
 
 @query("corroborate_all", f"SELECT fact_id_1, fact_id_2, corroborated FROM ({sql.JUDGED}) j")
@@ -287,6 +310,15 @@ def judge_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_replies(spark, sf_dir).select("id", factor.alias("reconciling_factor"))
 
 
+@query("judge_json", sql.JUDGE_JSON)
+def judge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements read from replies of all forms; replies without a relation give none."""
+    said = judge_replies(spark, sf_dir).withColumn("form", F.length("id") % 5)
+    read = said.select("id", llmjson.judgement(F.expr(views.JUDGE_JSON_REPLY)).alias("j")).where("j IS NOT NULL")
+    relation = judging.relation_type(F.col("j.relation_type"))
+    return read.select("id", relation.alias("relation_type"), judging.reconciling_factor(F.col("j.reconciling_factor"), relation).alias("reconciling_factor"), "j.explanation")
+
+
 @query("relationships_all", f"SELECT fact_id_1, fact_id_2, relation_type, reconciling_factor, match_source, agreement_strength FROM ({sql.RELATIONSHIPS}) r")
 def relationships_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relationships(spark, sf_dir).select("fact_id_1", "fact_id_2", "relation_type", "reconciling_factor", "match_source", "agreement_strength")
@@ -294,7 +326,7 @@ def relationships_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Reads ----------------------------------------------------------------------------------------------------------------
 
-FIRST_FACT = "ledger_a|aaaaaa|FY2015"
+FIRST_FACT = "ledger_a|cfcdigokpl|FY2015"
 
 
 @query("rel_enriched", sql.ENRICHED)
@@ -308,6 +340,13 @@ def rel_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relationships(spark, sf_dir).where("relation_type = 'contradicts'").select("fact_id_1", "fact_id_2")
 
 
+@query("rel_list_newest", f"SELECT fact_id_1, fact_id_2, relation_type FROM ({sql.RELATIONSHIPS}) r WHERE fact_id_1 LIKE '{OTHER}|%' OR fact_id_2 LIKE '{OTHER}|%' ORDER BY sha256(least(fact_id_1, fact_id_2) || '#' || greatest(fact_id_1, fact_id_2)) LIMIT 50")
+def rel_list_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest relationships across documents that touch one document; equal times are in order of ids."""
+    rows = reads.list_relationships(relationships(spark, sf_dir), facts(spark, sf_dir), limit=50, cross_document=True, doc_id=OTHER)
+    return rows.select("fact_id_1", "fact_id_2", "relation_type")
+
+
 @query("rel_for_document", f"SELECT fact_id_1, fact_id_2, relation_type FROM ({sql.RELATIONSHIPS}) r WHERE fact_id_1 IN (SELECT id FROM ({sql.FACTS}) f WHERE source_doc_id = '{OTHER}') OR fact_id_2 IN (SELECT id FROM ({sql.FACTS}) f WHERE source_doc_id = '{OTHER}')")
 def rel_for_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reads.touching_document(relationships(spark, sf_dir), facts(spark, sf_dir), OTHER)
@@ -330,6 +369,17 @@ def fact_neighbors_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["fact_neighbors_outer"] = sql.neighbours(FIRST_FACT, "LEFT JOIN", "WHERE source_doc_id <> 'ledger_c'")
 
 
+@query("fact_lookup", f"SELECT id, value, claim_fingerprint FROM ({sql.FACTS}) f WHERE id = '{FIRST_FACT}'")
+def fact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.fact(facts(spark, sf_dir), FIRST_FACT).select("id", "value", "claim_fingerprint")
+
+
+@query("fact_detail", f"SELECT n.*, (SELECT value FROM ({sql.FACTS}) f WHERE id = '{FIRST_FACT}') AS own_value FROM ({sql.neighbours(FIRST_FACT, 'JOIN')}) n")
+def fact_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reads.fact_detail(relationships(spark, sf_dir), facts(spark, sf_dir), FIRST_FACT)
+    return rows.select("other_id", "relation_type", F.col("target_fact.value").alias("value"), F.col("fact.value").alias("own_value"))
+
+
 @query("facts_by_document", f"SELECT id, page, created_seq FROM ({sql.FACTS}) f WHERE source_doc_id = '{LEDGER}' ORDER BY page, created_seq, id LIMIT 500")
 def facts_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.list_facts(facts(spark, sf_dir), LEDGER).select("id", "page", "created_seq")
@@ -397,3 +447,38 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = facts(spark, sf_dir).where(F.col("source_doc_id") != OTHER)
     return reads.dangling(relationships(spark, sf_dir), kept).select("fact_id_1", "fact_id_2")
+
+
+# Store ----------------------------------------------------------------------------------------------------------------
+
+
+def filled_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store in the shared folder with all ledgers, their facts and their relationships, and one ledger deleted."""
+    store = Store(spark, scratch_root(spark, "store"))
+    known = facts(spark, sf_dir)
+    store.commit(documents=ledger_documents(known), facts=known)
+    store.commit(relationships=relationships(spark, sf_dir))
+    store.delete_document(OTHER)
+    return store
+
+
+def ledger_documents(known: DataFrame) -> DataFrame:
+    named = known.groupBy(F.col("source_doc_id").alias("doc_id")).agg(F.countDistinct("page").cast("int").alias("page_count"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000)).alias("created_at")
+    return named.select("doc_id", F.col("doc_id").alias("doc_name"), "page_count", F.col("page_count").alias("total_pages"), at)
+
+
+@query("store_cascade_delete", sql.deleted(OTHER))
+def store_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filled_store(spark, sf_dir).relationships().select("fact_id_1", "fact_id_2")
+
+
+@query("store_reprocess", sql.replaced(OTHER))
+def store_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and relationships by document after the deleted ledger's facts came back: its old relationships did not."""
+    store = filled_store(spark, sf_dir)
+    back = facts(spark, sf_dir).where(F.col("source_doc_id") == OTHER)
+    store.commit(documents=ledger_documents(back), facts=back)
+    counted = reads.documents_with_counts(store.documents().select("doc_id"), store.facts())
+    edges = reads.relationship_counts(store.relationships(), store.facts())
+    return counted.join(edges, "doc_id", "left").select("doc_id", F.col("fact_count").alias("facts"), F.coalesce("relationship_count", F.lit(0).cast("long")).alias("relationships"))

@@ -13,7 +13,10 @@ when the target exists (HDFS); on others keep one writer a root.
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +28,23 @@ SCHEMAS = {"documents": DOCUMENTS, "facts": FACTS, "relationships": RELATIONSHIP
 COLUMNS = {t: [c.split()[0] for c in s.split(", ")] for t, s in SCHEMAS.items()}
 
 
+_own: list[str] = []
+
+
+def scratch_root(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a single-JVM session that leaves that out gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="factloom-store-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        base = f"file://{_own[0]}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
