@@ -3,8 +3,8 @@
 1. One pass makes a 64-bit fingerprint of each whole text; (doc_id, fingerprint) is written to the shared folder.
 2. Only distinct fingerprints go on, so a group of copies is one row however large it is.
 3. Two fingerprints with at most 2 differing bits agree on one of three blocks of bits. Each fingerprint goes to three
-   partitions, by block and the block's value. Values shared by very many fingerprints are split again by the
-   remaining bits in the same way, which loses no pair.
+   partitions, by block and the block's value. Values shared by very many fingerprints are split by the remaining bits
+   in the same way, as often as need be, which loses no pair.
 4. A task sorts its fingerprints by Gray rank, with the block's bits first, and builds a tree over runs of that order:
    a node holds the mask and pattern of the bits that all below it share. The tree is joined with itself from the
    top. A pair of nodes carries the differences found so far and adds those of the bits that its own masks newly share;
@@ -20,11 +20,12 @@ empty result. Other columns are ignored by ``near_duplicates`` and kept by ``kee
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import Scratch, columns, slices
@@ -34,7 +35,7 @@ SEED = 42
 DISTANCE = 2
 #: First bit and number of bits of each block.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: Distinct fingerprints with one block value above which the value is split by the remaining bits.
+#: Distinct fingerprints with one value above which the value is split by the remaining bits.
 HOT = 50_000
 FAN_OUT = 8
 
@@ -165,16 +166,16 @@ def local_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For all fingerprints of a task, by block: an edge to the first word of each local component."""
     parts: dict[tuple[int, int], list[np.ndarray]] = {}
     for batch in batches:
-        block, sub = batch.column("block").to_numpy(), batch.column("sub").to_numpy()
+        block, mask = batch.column("block").to_numpy(), batch.column("mask").to_numpy()
         fps = batch.column("fp").to_numpy().view(np.uint64)
-        for key in set(zip(block.tolist(), sub.tolist(), strict=True)):
-            parts.setdefault(key, []).append(fps[(block == key[0]) & (sub == key[1])])
-    for block, _ in sorted(parts):
-        fps = np.unique(np.concatenate(parts.pop((block, _))))
+        for key in set(zip(block.tolist(), mask.tolist(), strict=True)):
+            parts.setdefault(key, []).append(fps[(block == key[0]) & (mask == key[1])])
+    for block, mask in sorted(parts):
+        fps = np.unique(np.concatenate(parts.pop((block, mask))))
         first, size = BLOCKS[block]
         index = GrayIndex(rotated(fps, first, size))
         root = index.roots(DISTANCE, size)
-        words = rotated(index.words, 0, first + size)  # rotated back: the block returns to its place
+        words = rotated(index.words, 0, 64 - first - size)  # rotated back: the block returns to its place
         member = root != np.arange(len(root))
         if member.any():
             yield pa.RecordBatch.from_arrays(
@@ -182,41 +183,43 @@ def local_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def signed(mask: int) -> int:
+    return mask - (mask >> 63 << 64)
+
+
+def finer_masks(mask: int) -> list[int]:
+    """The bits outside ``mask`` in three parts, each with ``mask``. Two words that agree on the mask and differ in at
+    most two bits agree on one of them."""
+    rest = [1 << i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(rest[len(rest) * k // 3 : len(rest) * (k + 1) // 3]) for k in range(DISTANCE + 1)]
+
+
 def candidate_blocks(distinct: DataFrame, hot: int, scratch: Scratch) -> DataFrame:
-    """(block, sub, value, fp): where each fingerprint is searched. ``sub`` is -1 but for hot block values."""
-    parts = F.array(
-        *[
-            F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", at).bitwiseAND((1 << size) - 1).alias("value"))
-            for i, (at, size) in enumerate(BLOCKS)
-        ]
-    )
-    rows = distinct.select("fp", F.inline(parts))
-    crowded = scratch.write(rows.groupBy("block", "value").count().where(F.col("count") > hot).select("block", "value"), "hot")
-    if crowded.isEmpty():
-        return rows.select("block", F.lit(-1).alias("sub"), "value", "fp")
-    marked = rows.join(crowded.withColumn("crowded", F.lit(True)), ["block", "value"], "left")
-    # The other bits of a hot value, in three parts: a pair differs in at most two of them.
-    rest = F.lit(0)
-    for i, (at, size) in enumerate(BLOCKS):
-        others = [b for k, b in enumerate(BLOCKS) if k != i]
-        (a1, s1), (a2, s2) = others
-        joined = F.shiftrightunsigned("fp", a1).bitwiseAND((1 << s1) - 1).bitwiseOR(
-            F.shiftleft(F.shiftrightunsigned("fp", a2).bitwiseAND((1 << s2) - 1), s1)
-        )
-        rest = F.when(F.col("block") == i, joined).otherwise(rest)
-    bits = marked.withColumn("rest", rest)
-    finer = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("sub"),
-                F.shiftleft("value", 15).bitwiseOR(F.shiftrightunsigned("rest", 15 * s).bitwiseAND((1 << 15) - 1)).alias("finer"),
-            )
-            for s in range(3)
-        ]
-    )
-    usual = bits.where(F.col("crowded").isNull()).select("block", F.lit(-1).alias("sub"), "value", "fp")
-    split = bits.where(F.col("crowded")).select("block", "fp", F.inline(finer)).select("block", "sub", F.col("finer").alias("value"), "fp")
-    return usual.union(split)
+    """(block, mask, value, fp): where each fingerprint is searched, by its value of the mask's bits.
+
+    Values of more than ``hot`` fingerprints are split by the other bits, again and again if need be.
+    """
+    spark = scratch.spark
+    masks = [((1 << size) - 1) << at for at, size in BLOCKS]
+    value = F.col("fp").bitwiseAND(F.col("mask")).alias("value")
+    first = F.array(*[F.struct(F.lit(i).alias("block"), F.lit(signed(m)).alias("mask")) for i, m in enumerate(masks)])
+    rows = distinct.select("fp", F.inline(first)).select("fp", "block", "mask", value)
+    done: list[DataFrame] = []
+    while True:
+        open_ = [m for m in masks if 64 - m.bit_count() > DISTANCE]
+        counted = rows.where(F.col("mask").isin([signed(m) for m in open_])).groupBy("block", "mask", "value").count()
+        crowded = scratch.write(counted.where(F.col("count") > hot).select("block", "mask", "value"), "hot")
+        if crowded.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, rows])
+        marked = scratch.write(rows.join(crowded.withColumn("crowded", F.lit(True)).hint("merge"), ["block", "mask", "value"], "left"), "seats")
+        done.append(marked.where("crowded IS NULL").drop("crowded"))
+        # Which masks are crowded: three times as many at most as one level before.
+        known = [r.mask for r in crowded.select("mask").distinct().collect()]
+        finer = {m: finer_masks(m) for m in open_ if signed(m) in known}
+        table = spark.createDataFrame([(signed(m), signed(f)) for m, fs in finer.items() for f in fs], "mask long, finer long")
+        split = marked.where("crowded").select("fp", "block", "mask").join(F.broadcast(table), "mask")
+        rows = split.select("fp", "block", F.col("finer").alias("mask")).select("fp", "block", "mask", value)
+        masks = [f for fs in finer.values() for f in fs]
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -248,15 +251,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = after
 
 
+def fingerprint_edges(distinct: DataFrame, hot: int, scratch: Scratch) -> DataFrame:
+    """(a, b) that link all different fingerprints (fp) within ``DISTANCE`` bits into their components."""
+    rows = candidate_blocks(distinct, hot, scratch)
+    return rows.repartition("block", "mask", "value").select("block", "mask", "fp").mapInArrow(local_links, "a long, b long")
+
+
 def component_of(ids: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """From (doc_id, fp) rows: (fp, component_id, members' least ``rid`` if there is one) per distinct fingerprint."""
     least = [F.min("doc_id").alias("doc_id")]
     if "rid" in ids.columns:
         least = [F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("first")]
     distinct = scratch.write(ids.groupBy("fp").agg(*least), "distinct")
-    rows = candidate_blocks(distinct.select("fp"), hot, scratch)
-    edges = rows.repartition("block", "sub", "value").select("block", "sub", "fp").mapInArrow(local_links, "a long, b long")
-    stars = components(edges, scratch)
+    stars = components(fingerprint_edges(distinct.select("fp"), hot, scratch), scratch)
     value = "first" if "rid" in ids.columns else "doc_id"
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", value, F.coalesce("root", "fp").alias("root"))
     rooted = scratch.write(rooted, "rooted")
