@@ -11,6 +11,8 @@ any other. Repeated rows stay repeated, an empty table gives an empty result, ot
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,20 +87,42 @@ def text_of(sketch_col: Column) -> Column:
     return F.array_join(F.transform(sketch_col, lambda h: F.lower(F.lpad(F.hex(h), digits, "0"))), "")
 
 
-def with_next(rows: DataFrame, carried: list[str], buckets: int) -> DataFrame:
-    """``rows`` (doc_id, tie, ...) with ``next_<c>`` of the following row by descending (doc_id, tie); the last is
+#: Bytes of text that a bucket of neighbouring rows should have, and the most buckets that a plan names.
+BUCKET_BYTES = 32 << 20
+MOST_BUCKETS = 50_000
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def cuts_of(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Cuts (doc_id, tie), descending, from ascending quantiles of doc_id.
+
+    An id that is m quantiles has at least m - 1 buckets' rows: its range of ties is cut in m.
+    """
+    cuts = []
+    for i, m in Counter(quantiles).items():
+        cuts += [(i, _LEAST + j * ((_MOST - _LEAST) // m)) for j in range(m)]
+    return sorted(cuts, reverse=True)
+
+
+def with_next(rows: DataFrame, carried: list[str], least_buckets: int) -> DataFrame:
+    """``rows`` (doc_id, tie, text, ...) with ``next_<c>`` of the following row by descending (doc_id, tie); the last is
     followed by the first.
 
-    Rows are dealt by quantiles of doc_id, so no task gets all of them. A bucket's first row also visits the bucket
-    before it as a guest; only ids, at most one a bucket, reach the driver. Null ids come last.
+    Rows are dealt by quantiles of doc_id, as many as their bytes ask for, and inside an id that many rows repeat by
+    ranges of ``tie``, a hash of the text. A bucket's first row also visits the bucket before it as a guest; only ids, at
+    most one a bucket, reach the driver. Null ids come last.
     """
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000 + 10 * buckets)).first()[0]
-    cuts = sorted(set(cuts or []), reverse=True)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(least_buckets, size // BUCKET_BYTES))
+    found = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000 + 10 * buckets)).first()[0]
+    cuts = cuts_of(found or [])
     wide = max(1, int(len(cuts) ** 0.5))
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]).cast("array<long>")
-    # Cuts descend: the bucket is the number of cuts above the id, found among every wide-th cut, then among the rest.
-    coarse = F.size(F.filter(longs(cuts[wide - 1 :: wide]), lambda c: c > F.col("doc_id")))
-    fine = F.size(F.filter(F.slice(longs(cuts), coarse * wide + 1, wide), lambda c: c > F.col("doc_id")))
+    pairs = lambda cs: F.arrays_zip(longs([c for c, _ in cs]).alias("id"), longs([t for _, t in cs]).alias("tie"))
+    above = lambda c: (c["id"] > F.col("doc_id")) | (c["id"] == F.col("doc_id")) & (c["tie"] > F.col("tie"))
+    # Cuts descend: the bucket is the number of cuts above the row, found among every wide-th cut, then among the rest.
+    coarse = F.size(F.filter(pairs(cuts[wide - 1 :: wide]), above))
+    fine = F.size(F.filter(F.slice(pairs(cuts), coarse * wide + 1, wide), above))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(coarse * wide + fine)
     dealt = rows.withColumn("bucket", bucket)
     firsts = {
