@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +34,27 @@ CORE_POINTS, MOST_CORE_POINTS = 2.5, 25.0
 FRONT_MATTER_FACTOR = 0.05
 # ----------------------------------------------------------------------------------------------------------------------
 
-METRIC_PATTERN = "(?i)(" + "|".join(METRIC_TOKENS) + ")"
-CORE_PATTERN = r"(?i)\b(" + "|".join(CORE_METRICS) + r")\b"
+
+
+def _alternatives(words: tuple[str, ...]) -> str:
+    """A pattern for any of the words, grouped by first letter, so that most places are passed over at once.
+
+    No word is the start of another one, so the order of the words does not matter.
+    """
+    firsts = dict.fromkeys(w[: 2 if w[0] == "\\" else 1] for w in words)
+    return "|".join(f"{f}(?:{'|'.join(w.removeprefix(f) for w in words if w.startswith(f))})" for f in firsts)
+
+
+#: For texts in lower case.
+METRIC_PATTERN = _alternatives(METRIC_TOKENS)
+CORE_PATTERN = rf"\b(?:{_alternatives(CORE_METRICS)})\b"
+SPACE = r"[\s\p{Z}]"
+
+
+def count_words(low: Column, words: tuple[str, ...], pattern: str) -> Column:
+    """Matches of a pattern of words in a text in lower case; only texts that have one of the words are searched."""
+    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.removeprefix("\\"))) for w in words])
+    return F.when(some, F.regexp_count(low, F.lit(pattern))).otherwise(0)
 
 
 def _occurrences(text: Column, part: str) -> Column:
@@ -63,21 +84,29 @@ def is_front_matter(text: Column, clean: Column | None = None) -> Column:
     return F.coalesce(F.length(clean) >= LEAST_CHARS, F.lit(False)) & (found | dotted)
 
 
-def density_score(text: Column, tables: Column, table_rows: Column, front_matter: Column, clean: Column | None = None) -> Column:
-    """Weighted shares of digits, table-like lines and metric words, rounded half up to two places."""
+def density_score(
+    text: Column, tables: Column, table_rows: Column, front_matter: Column, clean: Column | None = None, low: Column | None = None
+) -> Column:
+    """Weighted shares of digits, table-like lines and metric words, rounded half up to two places.
+
+    ``clean`` and ``low`` are the text trimmed and in lower case, where a plan has them already.
+    """
     clean = trimmed(text) if clean is None else clean
-    n = F.regexp_count(text, F.lit(r"[^\s\p{Z}]++"))
-    lines = F.split(clean, "\n")
-    digits = F.regexp_count(text, F.lit(r"[^\s\p{Z}0-9]*+[0-9][^\s\p{Z}]*+")) / n
-    tabular = F.size(F.filter(lines, lambda line: F.regexp_count(line, F.lit(NUMBER)) >= 2)) / F.size(lines)
-    metrics = F.regexp_count(text, F.lit(METRIC_PATTERN)) / n
+    n = F.size(F.array_remove(F.split(text, SPACE + "+"), ""))
+    lines, low = F.split(clean, "\n"), F.lower(text) if low is None else low
+    # A match goes from the first digit of a word to its end; texts without digits are not searched.
+    numbers = F.when(text.rlike("[0-9]"), F.regexp_count(text, F.lit(r"[0-9][^\s\p{Z}]*+"))).otherwise(0)
+    digits = numbers / n
+    tables_like = F.size(F.filter(lines, lambda line: line.rlike("[0-9]") & (F.regexp_count(line, F.lit(NUMBER)) >= 2)))
+    tabular = F.when(text.rlike("[0-9]"), tables_like).otherwise(0) / F.size(lines)
+    metrics = count_words(low, METRIC_TOKENS, METRIC_PATTERN) / n
     score = (
         digits * DIGIT_WEIGHT
         + tabular * TABLE_LINE_WEIGHT
         + metrics * METRIC_WEIGHT
         + F.least(F.lit(MOST_TABLE_POINTS), tables * TABLE_POINTS)
         + F.least(F.lit(MOST_ROW_POINTS), table_rows * ROW_POINTS)
-        + F.least(F.lit(MOST_CORE_POINTS), F.regexp_count(text, F.lit(CORE_PATTERN)) * CORE_POINTS)
+        + F.least(F.lit(MOST_CORE_POINTS), count_words(low, CORE_METRICS, CORE_PATTERN) * CORE_POINTS)
     )
     score = F.when(front_matter, score * FRONT_MATTER_FACTOR).otherwise(score)
     return F.when(F.coalesce(F.length(clean) >= LEAST_CHARS, F.lit(False)), F.floor(score * 100 + 0.5) / 100).otherwise(F.lit(0.0))

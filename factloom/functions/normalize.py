@@ -46,8 +46,9 @@ SPACE = r"[\s\p{Z}]"
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at either end. Most texts have none there and are not searched."""
+    outer = F.left(c, F.lit(1)).rlike(SPACE) | F.right(c, F.lit(1)).rlike(SPACE)
+    return F.when(outer, F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
 
 
 def snake_case(text: Column) -> Column:

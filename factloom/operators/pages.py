@@ -33,10 +33,10 @@ def with_density(pages: DataFrame) -> DataFrame:
     """Adds is_front_matter and density_score; blank pages go. Missing table counts are those of ``tables``."""
     tables, rows = F.col("table_count"), F.col("table_row_count")
     text, clean = F.col("text"), F.col("__clean")
-    kept = with_table_counts(pages.where(density.not_blank(text))).withColumn("__clean", trimmed(text))
+    kept = with_table_counts(pages.where(density.not_blank(text))).withColumns({"__clean": trimmed(text), "__low": F.lower(text)})
     kept = kept.withColumn("is_front_matter", density.is_front_matter(text, clean))
-    scored = kept.withColumn("density_score", density.density_score(text, tables, rows, F.col("is_front_matter"), clean))
-    return scored.drop("__clean")
+    scored = kept.withColumn("density_score", density.density_score(text, tables, rows, F.col("is_front_matter"), clean, F.col("__low")))
+    return scored.drop("__clean", "__low")
 
 
 def effective_gate(max_pages: int | None) -> int | None:

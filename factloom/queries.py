@@ -48,8 +48,14 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("claim_fingerprint", N.claim_fingerprint(F.col("subject_normalized"), F.col("attribute_normalized"), F.col("temporal_scope")))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a few input splits dealt to all cores; tables of many splits stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, views.PAGES_SQL)
+    return spread(_view(spark, sf_dir, views.PAGES_SQL))
 
 
 def scored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
