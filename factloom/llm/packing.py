@@ -16,6 +16,7 @@ Repeated rows are separate documents. An empty table gives an empty result. Othe
 from __future__ import annotations
 
 import bisect
+import gc
 import json
 import re
 import zlib
@@ -46,48 +47,55 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def fast_encoder(path: str) -> tuple[Callable[[str], list[int]], re.Pattern] | None:
+    """A faster byte-pair implementation over the tokenizer file's vocabulary, and the file's special strings.
+
+    None unless the merge order is the id order and the file cuts text at byte level without changing it.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    specials = [t["content"] for t in spec.get("added_tokens") or []]
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    vocab, merges = model["vocab"], model.get("merges", [])
+    ordered = all(vocab.get("".join(m if isinstance(m, list) else m.split(" "))) == 256 + i for i, m in enumerate(merges))
+    plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
+    if not (ordered and plain and pre.get("use_regex", True)):
+        return None
+    import tiktoken
+
+    alphabet = byte_alphabet()
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in specials}
+    fast = tiktoken.Encoding(
+        "file",
+        pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+        mergeable_ranks=ranks,
+        special_tokens={},
+    )
+    fast._mergeable_ranks = {}  # the compiled part has its own copy
+    return fast.encode_ordinary, re.compile("|".join(map(re.escape, specials)) or r"(?!)")
+
+
 def load_encoder(path: str) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids under the tokenizer file at ``path``, without special tokens added.
 
-    The file's vocabulary is also loaded into a faster byte-pair implementation when the merge order is the id
-    order (checked here). That one serves texts of plain characters without the file's special strings; every other
-    text is encoded by the tokenizer itself, so ids are the tokenizer's in all cases.
+    Texts of plain characters without the file's special strings go to ``fast_encoder``, if the file has one; every
+    other text is encoded by the tokenizer itself, so ids are the tokenizer's in all cases. The tokenizer is loaded when
+    the first text needs it.
     """
     if path in _encoders:
         return _encoders[path]
-    from tokenizers import Tokenizer
+    slow: list = []
+    fast = fast_encoder(path)
+    gc.collect()  # the parsed file goes before texts come
 
-    slow = Tokenizer.from_file(path)
+    def encode(text: str) -> np.ndarray:
+        if fast and not _PLAIN.search(text) and not fast[1].search(text):
+            return np.array(fast[0](text), dtype=np.uint32)
+        if not slow:
+            from tokenizers import Tokenizer
 
-    def exact(text: str) -> np.ndarray:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    encode = exact
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    specials = [t["content"] for t in spec.get("added_tokens") or []]
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    vocab = model["vocab"]
-    merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
-    ordered = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
-    plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-    if ordered and plain and pre.get("use_regex", True):
-        import tiktoken
-
-        alphabet = byte_alphabet()
-        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in specials}
-        fast = tiktoken.Encoding(
-            "file",
-            pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-            mergeable_ranks=ranks,
-            special_tokens={},
-        )
-        special = re.compile("|".join(map(re.escape, specials))) if specials else None
-
-        def encode(text: str) -> np.ndarray:
-            if _PLAIN.search(text) or special and special.search(text):
-                return exact(text)
-            return np.array(fast.encode_ordinary(text), dtype=np.uint32)
+            slow.append(Tokenizer.from_file(path))
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     _encoders[path] = encode
     return encode
@@ -129,7 +137,7 @@ def tokenized_pieces(
         encode = load_encoder(tokenizer)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             out: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(separator)).astype("<u4")
