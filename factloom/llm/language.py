@@ -11,7 +11,9 @@ a hash of their ids, and at most ``PER_DOCUMENT`` evenly spread windows of each.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; so does every row when there is
 nothing to learn from. A null ``doc_id`` is never learned from, is not held out and stays null. Rows with a null
-language aren't learned from. Repeated rows stay repeated; an empty table gives an empty result.
+language aren't learned from. Repeated rows stay repeated; an empty table gives an empty result. Other columns stay as
+they are, but for earlier ``lang_pred`` and ``lang_score``, which are replaced. Languages beyond the ``LANGUAGES`` most
+frequent ones are never predicted.
 """
 
 from __future__ import annotations

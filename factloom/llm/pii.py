@@ -276,12 +276,31 @@ def with_added(scanned: DataFrame, scratch: Scratch) -> DataFrame:
     return scanned.join(added.hint("merge"), "__rid", "left").withColumn("__added", F.coalesce("__added", none))
 
 
-def personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans of the base patterns) and added (spans of the bootstrapped patterns), as arrays of structs."""
+def redacted(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with each stretch of personal data in ``text`` replaced by its kind; ``__base`` and ``__added`` are its spans."""
+    cols = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            spans = zip(batch.column("__base").to_pylist(), batch.column("__added").to_pylist(), strict=True)
+            texts = [replace(t, base + added) for t, (base, added) in zip(batch.column(text).to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in cols], names=cols)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, base (spans of the base patterns) and added (spans of the bootstrapped patterns), as arrays of structs.
+
+    ``with_text`` adds the redacted text.
+    """
     scratch = Scratch(spark, "pii")
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
-    scanned = scratch.write(scan(texts, "text", keep=False), "scanned")
-    return with_added(scanned, scratch).select("doc_id", F.col("__base").alias("base"), F.col("__added").alias("added"))
+    scanned = scratch.write(scan(texts, "text", keep=with_text), "scanned")
+    text = ["text"] * with_text
+    rows = with_added(scanned, scratch).select("doc_id", *text, "__base", "__added")
+    rows = redacted(rows, "text") if with_text else rows
+    return rows.select("doc_id", F.col("__base").alias("base"), F.col("__added").alias("added"), *text)
 
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -292,18 +311,7 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text = f"c{names.index('text')}"
     n_chars = f"c{names.index('n_chars')}" if "n_chars" in names else None
     scanned = scratch.write(scan(plain.withColumn(text, F.col(text).cast("string")), text, keep=True), "scanned")
-    spans = F.concat("__base", "__added").alias("__spans")
-    cols = plain.columns
-    rows = with_added(scanned, scratch).select(*cols, spans)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            texts = [replace(t, s) for t, s in zip(batch.column(text).to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in cols], names=cols
-            )
-
-    out = rows.mapInArrow(run, rows.drop("__spans").schema)
+    out = redacted(with_added(scanned, scratch).select(*plain.columns, "__base", "__added"), text)
     if n_chars:
         out = out.withColumn(n_chars, F.length(text).cast(plain.schema[n_chars].dataType))
     return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
@@ -332,7 +340,7 @@ def joined(spans: Column) -> Column:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = personal_data(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=True)
 
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -344,4 +352,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.array_sort("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        "text",
     )
