@@ -25,7 +25,8 @@ are ignored.
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.common import Scratch, columns, slices, text_key
-from factloom.llm.suffix_grouping import suffix_arrays
+from factloom.llm.suffix_grouping import ranges, suffix_arrays
 
 LENGTH = 400
 GRAM = 256
@@ -98,9 +99,8 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 18):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            keys = batch.column("key").to_pylist()
             joined, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
             at = anchors(np.frombuffer(joined, dtype=np.uint8), ends, length, gram)
             if not len(at):
@@ -108,15 +108,16 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             doc = np.searchsorted(ends, at, side="right")
             start = np.append(0, ends)[doc]
             lead, tail = np.minimum(side, at - start), np.minimum(side, ends[doc] - at - gram)
-            a, c = [], []
-            for p, x, y in zip(at.tolist(), lead.tolist(), tail.tolist(), strict=True):
-                a.append(xxh3_64_intdigest(joined[p : p + gram]))
-                c.append(xxh3_64_intdigest(joined[p - x : p + gram + y], x + 1))
+
+            def hashed(first: np.ndarray, last: np.ndarray, seeds: Iterable[int]) -> pa.Array:
+                parts = map(joined.__getitem__, map(slice, first.tolist(), last.tolist()))
+                return pa.array(np.fromiter(map(xxh3_64_intdigest, parts, seeds), np.uint64, len(first)).view(np.int64))
+
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.array(a, dtype=np.uint64).view(np.int64)),
-                    pa.array(np.array(c, dtype=np.uint64).view(np.int64)),
-                    pa.array([keys[d] for d in doc.tolist()], pa.binary()),
+                    hashed(at, at + gram, repeat(0)),
+                    hashed(at - lead, at + gram + tail, (lead + 1).tolist()),
+                    batch.column("key").take(pa.array(doc)),
                     *(pa.array(v.astype(np.int32)) for v in (at - start, lead, tail)),
                 ],
                 names=["a", "c", "key", "pos", "lead", "tail"],
@@ -187,6 +188,28 @@ def finer_rows(rows: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
+def equal_windows(text: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` symbols from ``one`` and from ``two`` are the same, symbol by symbol.
+
+    Windows at one distance that overlap are compared together, so a symbol is compared once for all of them.
+    """
+    equal = np.zeros(len(one), dtype=bool)
+    if not len(one):
+        return equal
+    apart = two - one
+    by = np.lexsort((one, apart))
+    one, apart, size = one[by], apart[by], size[by]
+    opens = np.append(True, (apart[1:] != apart[:-1]) | (one[1:] > one[:-1] + size[:-1]))
+    first = np.flatnonzero(opens)
+    run = np.cumsum(opens) - 1
+    start, wide = one[first], np.maximum.reduceat(one + size, first) - one[first]
+    places = ranges(start, wide)
+    differ = np.append(0, np.cumsum(text[places] != text[places + np.repeat(apart[first], wide)]))
+    at = (np.cumsum(wide) - wide)[run] + one - start[run]
+    equal[by] = differ[at + size] == differ[at]
+    return equal
+
+
 def repeated_windows(groups: list[list[tuple[int, int, bytes, bytes]]]) -> list[list[list[tuple[int, int]]]]:
     """For each group of (low, high, before, after) the runs [first, last] of r whose window another row has too."""
     texts, bounds, starts, owners = [], [0], [], []
@@ -219,15 +242,10 @@ def repeated_windows(groups: list[list[tuple[int, int, bytes, bytes]]]) -> list[
     one, two = windows[:-1], windows[1:]
     same = (group_of[one] == group_of[two]) & (size_of[one] == size_of[two])
     one, two = one[same], two[same]
-    size = size_of[one]
-    equal = np.zeros(len(one), dtype=bool)
-    for wide in np.unique(size):
-        pick = np.nonzero(size == wide)[0]
-        for k in range(0, len(pick), 20_000):
-            rows = pick[k : k + 20_000]
-            span = np.arange(wide)
-            equal[rows] = (text[one[rows, None] + span] == text[two[rows, None] + span]).all(axis=1)
-    hit = np.unique(np.concatenate([one[equal], two[equal]]))
+    equal = equal_windows(text, one, two, size_of[one])
+    marked = np.zeros(len(text), dtype=bool)
+    marked[one[equal]] = marked[two[equal]] = True
+    hit = np.flatnonzero(marked)
     rows, r = row_of[hit], r_of[hit]
     by = np.lexsort((r, rows))
     rows, r = rows[by], r[by]
@@ -245,6 +263,42 @@ def repeated_windows(groups: list[list[tuple[int, int, bytes, bytes]]]) -> list[
     return found
 
 
+def _shared(group: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """For each text the longest prefix that it shares with another text of its group."""
+    n, wide = len(texts), max(map(len, texts), default=0)
+    size = np.fromiter(map(len, texts), np.int64, n)
+    best = np.zeros(n, dtype=np.int64)
+    if not wide:
+        return best
+    padded = np.frombuffer(b"".join(t.ljust(wide, b"\0") for t in texts), dtype=f"S{wide}")
+    order = np.lexsort((padded, group))  # in order, a text's longest common prefix is with a neighbour
+    table = padded.view(np.uint8).reshape(n, wide)
+    for at in range(0, n - 1, 20_000):
+        one, two = order[at : min(at + 20_000, n - 1)], order[at + 1 : at + 20_001]
+        differ = table[one] != table[two]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
+        common = np.minimum(common, np.minimum(size[one], size[two])) * (group[one] == group[two])
+        np.maximum.at(best, one, common)
+        np.maximum.at(best, two, common)
+    return best
+
+
+def shortened(groups: list[list[tuple[int, int, bytes, bytes]]]) -> list[list[tuple[int, int, bytes, bytes]]]:
+    """Groups whose rows end where they share nothing with another row of the group; rows too short for a window are empty.
+
+    A window that another row has too lies in what the row shares with it before and after the anchor.
+    """
+    rows = [row for group in groups for row in group]
+    of = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    lead, tail = _shared(of, [r[2][::-1] for r in rows]).tolist(), _shared(of, [r[3] for r in rows]).tolist()
+    cut = [
+        (low, high, before[len(before) - b :], after[:a]) if a + b >= high - low else (low, high, b"", b"")
+        for (low, high, before, after), b, a in zip(rows, lead, tail, strict=True)
+    ]
+    ends = np.cumsum([len(g) for g in groups]).tolist()
+    return [cut[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def sorted_groups(rows: DataFrame) -> DataFrame:
     """g, g2, k (the row's class) and the runs of repeated windows, by suffix grouping of each (g, g2)."""
 
@@ -254,10 +308,14 @@ def sorted_groups(rows: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal symbols
+            cut = [(key, ks, group) for (key, ks, _), group in zip(waiting, shortened([w[2] for w in waiting]), strict=True)]
+            # Rows without a window that could be repeated have no part; at low = high a window is the anchor alone.
+            cut = [(key, [k for k, r in zip(ks, g, strict=True) if r[2] or r[3] or r[0] == r[1]], [r for r in g if r[2] or r[3] or r[0] == r[1]]) for key, ks, g in cut]
+            cut = [w for w in cut if len(w[2]) > 1]
             # Strings of like length together: each step then has work in all of them.
-            waiting.sort(key=lambda w: sum(len(b) + len(c) for _, _, b, c in w[2]))
+            cut.sort(key=lambda w: sum(len(b) + len(c) for _, _, b, c in w[2]))
             out: list[list] = [[], [], [], [], []]
-            for (key, ks, _), runs in zip(waiting, repeated_windows([w[2] for w in waiting]), strict=True):
+            for (key, ks, _), runs in zip(cut, repeated_windows([w[2] for w in cut]) if cut else [], strict=True):
                 for k, each in zip(ks, runs, strict=True):
                     for x, y in each:
                         for column, value in zip(out, (*key, k, x, y), strict=True):
@@ -416,4 +474,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         gone.alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # The kept bytes as text; a character that was cut in two is U+FFFD here.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )

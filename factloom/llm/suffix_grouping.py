@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers starts[i] .. starts[i] + sizes[i] - 1, one range after another."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
@@ -52,7 +52,7 @@ def group_suffixes(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
         end = top[live]
         start = group[order[end - 1]].astype(np.int64)
         count = end - start
-        members = order[_ranges(start, count)]
+        members = order[ranges(start, count)]
         floor, head = np.repeat(low[live], count), np.repeat(start, count)
         copies_of = np.repeat(length[order[end - 1]], count)
         # Previous suffix in a lower group: skip what is higher, then what is in this group.
@@ -87,7 +87,7 @@ def group_suffixes(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
         each = np.diff(np.append(first, len(old)))
         heads = old[first]
         tails = heads + size_at[heads] - each
-        slots = _ranges(tails, each)
+        slots = ranges(tails, each)
         # Elements that leave the tail take the places that open up before it.
         moved[ps] = True
         there = order[slots]
@@ -123,7 +123,7 @@ def suffix_arrays(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     free = np.arange(n, dtype=np.int32)
 
     def emit(keys: np.ndarray) -> None:
-        js = by[_ranges(opens[keys], counts[keys])]
+        js = by[ranges(opens[keys], counts[keys])]
         if len(js):
             g = group[js]
             slots = free[g]
