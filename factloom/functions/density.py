@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.normalize import trimmed
+from factloom.functions.normalize import trimmed_page
 
 # Fixed values. --------------------------------------------------------------------------------------------------------
 LEAST_CHARS = 50
@@ -62,7 +62,7 @@ def _occurrences(text: Column, part: str) -> Column:
 
 
 def has_text(text: Column) -> Column:
-    return F.coalesce(F.length(trimmed(text)) >= LEAST_CHARS, F.lit(False))
+    return F.coalesce(F.length(trimmed_page(text)) >= LEAST_CHARS, F.lit(False))
 
 
 def not_blank(text: Column) -> Column:
@@ -75,7 +75,7 @@ def is_front_matter(text: Column, clean: Column | None = None) -> Column:
 
     ``clean`` is the trimmed text, where a plan has it already.
     """
-    clean = trimmed(text) if clean is None else clean
+    clean = trimmed_page(text) if clean is None else clean
     head = F.lower(F.substring_index(clean, "\n", HEADER_LINES))
     found = F.lit(False)
     for phrase in FRONT_MATTER_PHRASES:
@@ -91,7 +91,7 @@ def density_score(
 
     ``clean`` and ``low`` are the text trimmed and in lower case, where a plan has them already.
     """
-    clean = trimmed(text) if clean is None else clean
+    clean = trimmed_page(text) if clean is None else clean
     n = F.size(F.array_remove(F.split(text, SPACE + "+"), ""))
     lines, low = F.split(clean, "\n"), F.lower(text) if low is None else low
     # A match goes from the first digit of a word to its end; texts without digits are not searched.

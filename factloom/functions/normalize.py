@@ -46,9 +46,14 @@ SPACE = r"[\s\p{Z}]"
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space at either end. Most texts have none there and are not searched."""
-    outer = F.left(c, F.lit(1)).rlike(SPACE) | F.right(c, F.lit(1)).rlike(SPACE)
-    return F.when(outer, F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
+    """Without white space at either end."""
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+
+
+def trimmed_page(text: Column) -> Column:
+    """``trimmed`` for a column of long texts: most have no white space at an end and are not searched."""
+    outer = F.left(text, F.lit(1)).rlike(SPACE) | F.right(text, F.lit(1)).rlike(SPACE)
+    return F.when(outer, trimmed(text)).otherwise(text)
 
 
 def snake_case(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions import density
-from factloom.functions.normalize import trimmed
+from factloom.functions.normalize import trimmed_page
 
 LEAST_VALID_CHARS = 60
 PIPELINE_PAGES = 3
@@ -33,7 +33,7 @@ def with_density(pages: DataFrame) -> DataFrame:
     """Adds is_front_matter and density_score; blank pages go. Missing table counts are those of ``tables``."""
     tables, rows = F.col("table_count"), F.col("table_row_count")
     text, clean = F.col("text"), F.col("__clean")
-    kept = with_table_counts(pages.where(density.not_blank(text))).withColumns({"__clean": trimmed(text), "__low": F.lower(text)})
+    kept = with_table_counts(pages.where(density.not_blank(text))).withColumns({"__clean": trimmed_page(text), "__low": F.lower(text)})
     kept = kept.withColumn("is_front_matter", density.is_front_matter(text, clean))
     scored = kept.withColumn("density_score", density.density_score(text, tables, rows, F.col("is_front_matter"), clean, F.col("__low")))
     return scored.drop("__clean", "__low")
@@ -68,7 +68,7 @@ def top_pages(pages: DataFrame, k: int = DEFAULT_PAGES) -> DataFrame:
     pages are valid.
     """
     doc = Window.partitionBy("doc_id")
-    valid = pages.where(F.length(trimmed(F.col("text"))) >= LEAST_VALID_CHARS)
+    valid = pages.where(F.length(trimmed_page(F.col("text"))) >= LEAST_VALID_CHARS)
     counted = valid.withColumn("__valid", F.count("*").over(doc)).withColumn("__content", F.count_if(~F.col("is_front_matter")).over(doc))
     few = F.col("__valid") <= k
     pool = counted.where(few | ~F.col("is_front_matter") | (F.col("__content") < k))
