@@ -19,7 +19,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a resemblance of 0.8 or more, that of the smallest id."""
+    """One document of each group that five-word shingles link at a resemblance of 0.8 or more, that of the smallest id.
+
+    Candidates come from the SimHash index and, as 0.8 is too wide for it alone, from min-wise bands; links are exact.
+    """
     return resemblance.keep_one(spark, docs)
 
 

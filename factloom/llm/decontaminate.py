@@ -79,7 +79,10 @@ def with_rarest(found: DataFrame, docs_words: DataFrame, scratch: Scratch) -> Da
     """
     terms = scratch.write(found.select(F.explode("phrase").alias("term")).distinct(), "terms")
     occurring = docs_words.select(F.explode("ws").alias("term"))
-    counted = union([occurring.join(F.broadcast(block), "term").groupBy("term").count() for block in blocks_of(terms)])
+    blocks = blocks_of(terms)
+    counted = union([occurring.join(F.broadcast(block), "term").groupBy("term").count() for block in blocks])
+    # A row a term: as small as the block, so a frequent benchmark word need not meet its phrases in one task.
+    counted = F.broadcast(counted) if len(blocks) == 1 else counted
     placed = found.select("phrase", F.posexplode("phrase").alias("at", "term")).join(counted, "term", "left")
     each = F.struct(F.coalesce("count", F.lit(0)).alias("n"), "at", "term")
     rare = placed.groupBy("phrase").agg(F.slice(F.sort_array(F.collect_list(each)), 1, LISTS).alias("rare"))
